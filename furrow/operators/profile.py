@@ -45,8 +45,12 @@ def first_rows(df: DataFrame, order_by: Sequence[str], n: int = SAMPLE_ROWS) ->
 def head_sample(df: DataFrame, order_by: Sequence[str],
                 n: int = SAMPLE_ROWS) -> tuple[DataFrame, bool]:
     """First `n` rows and whether the table has more than that."""
-    is_sampled = df.limit(n + 1).count() > n
-    return first_rows(df, order_by, n), is_sampled
+    return first_rows(df, order_by, n), has_more(df, n)
+
+
+def has_more(df: DataFrame, n: int) -> bool:
+    """Whether a table has more than a few rows; reads only as many partitions as that takes."""
+    return len(df.select(F.lit(1)).take(n + 1)) > n
 
 
 def preview_rows(df: DataFrame, order_by: Sequence[str], n: int = PREVIEW_ROWS) -> DataFrame:
@@ -129,7 +133,7 @@ def example_values(df: DataFrame, order_by: Sequence[str], n: int = EXAMPLES,
     top = first_rows(df, keys, head)
     found = {r["column"]: r["examples"] for r in _examples_of(top, keys, names, n).collect()}
     sparse = [c for c in names if len(found.get(c, ())) < n]
-    if sparse and len(df.limit(head + 1).select(F.lit(1)).head(head + 1)) > head:
+    if sparse and has_more(df, head):
         own = _union([
             _examples_of(
                 first_rows(df.select(*_distinct_names([*keys, c])).where(quoted(c).isNotNull()),
