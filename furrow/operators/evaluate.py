@@ -81,7 +81,7 @@ def baseline_features(train: DataFrame, test: DataFrame, roles: Mapping[str, str
             StringIndexer(inputCols=[f"_f{i}" for i in texts], outputCols=[f"_x{i}" for i in texts],
                           handleInvalid="keep", stringOrderType="alphabetAsc"),
             OneHotEncoder(inputCols=[f"_x{i}" for i in texts], outputCols=[f"_h{i}" for i in texts],
-                          handleInvalid="keep", dropLast=True),
+                          dropLast=True),
         ]
     parts = [f"_h{i}" if i in texts else f"_f{i}" for i in range(len(features))]
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))

@@ -33,7 +33,11 @@ def upstream_fingerprint(roles: Mapping[str, str], enabled: list[str],
 def run_manifest(run: PreparationRun, spark: SparkSession, project_id: str, run_id: str,
                  source_fingerprint: str, applied: list[str]) -> DataFrame:
     """One row that describes the run and its learned state."""
-    counts = {name: df.count() for name, df in run.frames.items() if not name.startswith("raw")}
+    if run.split is None:
+        counts = {"processed": run.frames["processed"].count()}
+    else:
+        counts = {"train": run.split.n - run.split.n_test, "test": run.split.n_test,
+                  "target_missing": run.frames["target_missing"].count()}
     row = (
         run_id, project_id, source_fingerprint, datetime.now(UTC).isoformat(), run.task,
         json.dumps(run.config.as_dict()), run.target, run.features, run.outputs, sorted(applied),

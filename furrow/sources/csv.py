@@ -11,7 +11,7 @@ from furrow.functions.text import quoted
 from furrow.sources.dialects import UTF8, csv_dialects, header_problems
 
 # Written before the first column name, it makes every part file begin with the bytes EF BB BF.
-BOM = "﻿"
+BOM = "\ufeff"
 CORRUPT = "_corrupt_record"
 # Formats that no text has, so that dates stay text as the profile reports them.
 NEVER = "'#'"
@@ -27,16 +27,26 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None,
     """
     delimiter, encoding = _dialect(spark, path, delimiter, encoding)
     reader = _reader(spark, delimiter, encoding, multiline).option("mode", "FAILFAST")
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", "true").csv(path)
+    if schema is None:
+        schema = _widened(reader.option("inferSchema", "true").csv(path).schema)
+    return reader.option("inferSchema", "false").schema(schema).csv(path)
+
+
+def _widened(schema: T.StructType) -> T.StructType:
+    """Whole numbers are 64 bits wide, whatever the values seen so far."""
+    return T.StructType([
+        T.StructField(f.name, T.LongType() if isinstance(f.dataType, T.IntegerType) else f.dataType)
+        for f in schema
+    ])
 
 
 def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType,
-                          delimiter: str = ",", encoding: str = UTF8) -> DataFrame:
+                          delimiter: str = ",", encoding: str = UTF8,
+                          header: bool = True) -> DataFrame:
     """All rows, those that do not fit with their text in `_corrupt_record`."""
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     reader = _reader(spark, delimiter, encoding, False).option("mode", "PERMISSIVE")
+    reader = reader.option("header", header)
     return reader.option("columnNameOfCorruptRecord", CORRUPT).schema(wide).csv(path)
 
 
@@ -72,8 +82,7 @@ def _dialect(spark: SparkSession, path: str, delimiter: str | None,
              encoding: str | None) -> tuple[str, str]:
     if delimiter and encoding:
         return delimiter, encoding
-    found = csv_dialects(spark, path, None).where("path not like '%/\\_%'")
-    found = found.where("not endswith(path, '.crc')").persist()
+    found = csv_dialects(spark, path).persist()
     try:
         problems = header_problems(found).limit(5).collect()
         if problems:

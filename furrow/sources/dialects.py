@@ -18,7 +18,7 @@ from furrow.sources.storage import list_files, open_binary
 DELIMITERS = ",;\t|"
 DEFAULT_DELIMITER = ","
 UTF8, CHINESE, WESTERN = "utf-8", "gb18030", "windows-1252"
-CJK_FIRST, CJK_LAST = "㐀", "鿿"
+CJK_FIRST, CJK_LAST = "\u3400", "\u9fff"
 CJK_AT_LEAST = 2
 CJK_SHARE = 0.02
 # ----------------------------------------------------------------------------------------------
