@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from furrow import model as M
 from furrow.functions.text import quoted
+from furrow.session import materialize
 from furrow.sources.dialects import UTF8, csv_dialects, header_problems
 
 # Written before the first column name, it makes every part file begin with the bytes EF BB BF.
@@ -43,20 +44,24 @@ def _widened(schema: T.StructType) -> T.StructType:
 def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType,
                           delimiter: str = ",", encoding: str = UTF8,
                           header: bool = True) -> DataFrame:
-    """All rows, those that do not fit with their text in `_corrupt_record`."""
+    """All rows, those that do not fit with their text in `_corrupt_record`.
+
+    The parsed rows are stored as a working table first: whether a row fits is only known when
+    all of its columns are parsed, so a query on the raw file must not prune any of them.
+    """
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = _reader(spark, delimiter, encoding, False).option("mode", "PERMISSIVE")
-    reader = reader.option("header", header)
-    return reader.option("columnNameOfCorruptRecord", CORRUPT).schema(wide).csv(path)
+    reader = _reader(spark, delimiter, encoding, False).options(mode="PERMISSIVE", header=header)
+    parsed = reader.option("columnNameOfCorruptRecord", CORRUPT).schema(wide).csv(path)
+    return materialize(parsed, "parsed")
 
 
-def corrupt_rows(df: DataFrame) -> DataFrame:
-    """The rejected rows' text.
+def corrupt_rows(parsed: DataFrame) -> DataFrame:
+    """The text of the rows that were set aside."""
+    return parsed.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
-    The other columns are kept in the plan: Spark decides whether a row fits from all of them.
-    """
-    others = [quoted(c) for c in df.columns if c != CORRUPT]
-    return df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT, F.struct(*others).alias("parsed"))
+
+def sound_rows(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, delimiter: str = ",",
