@@ -19,6 +19,7 @@ from furrow import model as M
 from furrow.functions.text import normalize_category, quoted, strict_double
 from furrow.operators import metrics
 from furrow.operators.fit import (
+    FittedState,
     category_counts,
     category_facts,
     numeric_facts,
@@ -29,6 +30,7 @@ from furrow.operators.fit import (
 LOGISTIC_C = 1.0
 LOGISTIC_ITERATIONS = 1_000
 RIDGE_ALPHA = 1.0
+BASELINE, COMPLETE = "baseline", "complete"
 # -------------------------------------------------------------------------------------------
 MAX_FEATURES = 1_000_000
 # Widest problem that the normal-equation solver accepts.
@@ -51,27 +53,24 @@ def same_split_check(raw: DataFrame, processed: DataFrame, columns: Sequence[str
 # ---- features -------------------------------------------------------------------------------
 
 def baseline_features(train: DataFrame, test: DataFrame, roles: Mapping[str, str],
-                      features: Sequence[str], target: str,
-                      rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+                      features: Sequence[str], target: str, rows: int | None = None,
+                      known: FittedState | None = None) -> tuple[DataFrame, DataFrame]:
     """(`features`, target) of the minimal scheme for both parts.
 
     Numbers get the training median (0 where there is none) and no scaling. Categories get the
-    training mode and one indicator per training category; a new category has none set.
+    training mode and one indicator per training category; a new category has none set. What
+    `known`, a state fitted on the same rows, already tells is not computed again.
     """
     numeric = [c for c in features if roles[c] in M.NUMERIC_ROLES]
     categorical = [c for c in features if c not in numeric]
-    medians = numeric_facts(train, numeric, rows=rows)
+    fills: dict[str, object] = {
+        **_medians(train, numeric, rows, known), **_modes(train, categorical, known)}
     types = {f.name: f.dataType for f in train.schema}
-    fills = baseline_modes(train, categorical)
     cells: list[Column] = []
     for i, c in enumerate(features):
-        if c in numeric:
-            fill = medians[c]["median"] if medians[c]["present"] else 0.0
-            cells.append(F.coalesce(strict_double(quoted(c), types[c]), F.lit(fill))
-                         .alias(f"_f{i}"))
-        else:
-            cells.append(F.coalesce(normalize_category(quoted(c)), F.lit(fills[c]))
-                         .alias(f"_f{i}"))
+        value = (strict_double(quoted(c), types[c]) if c in numeric
+                 else normalize_category(quoted(c)))
+        cells.append(F.coalesce(value, F.lit(fills[c])).alias(f"_f{i}"))
     filled = [df.select(*cells, quoted(target).alias("_target")) for df in (train, test)]
     texts = [i for i, c in enumerate(features) if c in categorical]
     stages = []
@@ -90,17 +89,36 @@ def baseline_features(train: DataFrame, test: DataFrame, roles: Mapping[str, str
     return ready[0], ready[1]
 
 
-def baseline_modes(train: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+def _medians(train: DataFrame, columns: Sequence[str], rows: int | None,
+             known: FittedState | None) -> dict[str, float]:
+    fills = {}
+    for c in known.columns if known else []:
+        if c.column in columns and c.dropped == M.ALL_MISSING:
+            fills[c.column] = 0.0
+        elif c.column in columns and c.imputation == "median":
+            fills[c.column] = c.fill_num
+    facts = numeric_facts(train, [c for c in columns if c not in fills], rows=rows)
+    fills.update({c: f["median"] if f["present"] else 0.0 for c, f in facts.items()})
+    return fills
+
+
+def _modes(train: DataFrame, columns: Sequence[str],
+           known: FittedState | None) -> dict[str, str]:
     """Most frequent training value per column; refuses what no linear model could hold."""
-    if not columns:
-        return {}
-    counts = category_counts(train, columns)
-    width = category_facts(counts).agg(F.coalesce(F.sum("distinct"), F.lit(0))).head()[0]
-    if width > MAX_FEATURES:
-        raise M.PreparationError(f"{width} categories are too many for a linear model; "
-                                 "mark the column as text or id")
-    found = {r["column"]: r["value"] for r in vocabulary(counts, 1).collect()}
-    return {c: found.get(c, M.MISSING_LABEL) for c in columns}
+    fills = {
+        c.column: c.fill_str for c in (known.columns if known else [])
+        if c.column in columns and c.imputation == "most_frequent" and not c.truncated
+    }
+    left = [c for c in columns if c not in fills]
+    if left:
+        counts = category_counts(train, left)
+        width = category_facts(counts).agg(F.coalesce(F.sum("distinct"), F.lit(0))).head()[0]
+        if width > MAX_FEATURES:
+            raise M.PreparationError(f"{width} categories are too many for a linear model; "
+                                     "mark the column as text or id")
+        found = {r["column"]: r["value"] for r in vocabulary(counts, 1).collect()}
+        fills.update({c: found.get(c, M.MISSING_LABEL) for c in left})
+    return fills
 
 
 def complete_features(processed: DataFrame, outputs: Sequence[str], target: str) -> DataFrame:
@@ -145,8 +163,7 @@ def fit_ridge(train: DataFrame, test: DataFrame, rows: int) -> DataFrame:
     numeric = [df.withColumn("_label", strict_double(F.col("_target"),
                                                      df.schema["_target"].dataType))
                for df in (train, test)]
-    width = numeric[0].select("features").head()["features"].size
-    narrow = width <= NORMAL_SOLVER_FEATURES
+    narrow = _width(train) <= NORMAL_SOLVER_FEATURES
     deviation = F.stddev_pop("_label") if narrow else F.stddev_samp("_label")
     sigma = numeric[0].agg(deviation).head()[0] or 0.0
     model = LinearRegression(
@@ -178,8 +195,16 @@ def score_scheme(train: DataFrame, test: DataFrame, task: str, rows: int) -> Dat
     raise M.PreparationError("quick evaluation covers classification and regression")
 
 
-def scheme_comparison(baseline: DataFrame, complete: DataFrame) -> DataFrame:
-    """(metric, baseline, complete, delta) out of two score tables of a few rows."""
-    left = baseline.select("metric", F.col("value").alias("baseline"))
-    right = complete.select("metric", F.col("value").alias("complete"))
-    return left.join(right, "metric").withColumn("delta", F.col("complete") - F.col("baseline"))
+def scheme_comparison(scores: DataFrame) -> DataFrame:
+    """(metric, baseline, complete, delta) out of (scheme, metric, value)."""
+    def of(scheme: str) -> Column:
+        return F.max(F.when(F.col("scheme") == scheme, F.col("value")))
+
+    return scores.groupBy("metric").agg(
+        of(BASELINE).alias("baseline"), of(COMPLETE).alias("complete")
+    ).withColumn("delta", F.col("complete") - F.col("baseline"))
+
+
+def _width(df: DataFrame) -> int:
+    """Number of features, as the assembler noted it in the schema."""
+    return df.schema["features"].metadata["ml_attr"]["num_attrs"]

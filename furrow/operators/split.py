@@ -180,15 +180,18 @@ class Split:
 
 
 def split_rows(df: DataFrame, test_size: float, seed: int, key: Sequence[str] | None = None,
-               stratify_by: str | None = None, ranked_rows: int = RANKED_ROWS) -> Split:
+               stratify_by: str | None = None, ranked_rows: int = RANKED_ROWS,
+               classes: DataFrame | None = None) -> Split:
     """Split `df` exactly: ceil(n * test_size) test rows, in proportion per class if stratified.
 
-    `key` names columns that identify a row; without it the whole row does.
+    `key` names columns that identify a row; without it the whole row does. `classes` are the
+    class counts where the caller has them stored already.
     """
     names = list(key or df.columns)
     token = keyed_token([quoted(c) for c in names], seed)
     hashed = df.withColumn(CLASS, _class_of(stratify_by)).withColumn(TOKEN, token)
-    classes = materialize(class_counts(df, stratify_by), "classes")
+    if classes is None:
+        classes = materialize(class_counts(df, stratify_by), "classes")
     n = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).head()[0]
     n_test = test_rows(n, test_size)
     quotas = materialize(split_quotas(classes, n, n_test), "quotas")

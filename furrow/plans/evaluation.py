@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from furrow import model as M
 from furrow.operators import evaluate as E
 from furrow.plans.pipeline import PreparationRun
-from furrow.session import materialize
 
 # ---- fixed values ----
 OFF, QUICK = "off", "quick"
@@ -24,23 +23,16 @@ def evaluate_run(run: PreparationRun, mode: str = QUICK) -> DataFrame | None:
     if run.task == M.CLEANING:
         raise M.PreparationError("a cleaning run has no model evaluation; switch it off")
     rows = run.split.n - run.split.n_test
-    parts = _marked(run)
     base_train, base_test = E.baseline_features(
-        parts["raw_train"], parts["raw_test"], run.roles, run.features, run.target, rows)
+        run.raw_train, run.raw_test, run.roles, run.features, run.target, rows, run.state)
     full = [E.complete_features(run.frames[p], run.outputs, run.target)
             for p in ("train", "test")]
     baseline = E.score_scheme(base_train, base_test, run.task, rows)
     complete = E.score_scheme(full[0], full[1], run.task, rows)
-    return baseline.select(F.lit("baseline").alias("scheme"), "metric", "value").unionByName(
-        complete.select(F.lit("complete").alias("scheme"), "metric", "value"))
+    return baseline.select(F.lit(E.BASELINE).alias("scheme"), "metric", "value").unionByName(
+        complete.select(F.lit(E.COMPLETE).alias("scheme"), "metric", "value"))
 
 
 def compare_schemes(run: PreparationRun) -> DataFrame:
     """(metric, baseline, complete, delta) of a supervised run."""
-    scores = materialize(evaluate_run(run), "scores")
-    return E.scheme_comparison(scores.where("scheme = 'baseline'").drop("scheme"),
-                               scores.where("scheme = 'complete'").drop("scheme"))
-
-
-def _marked(run: PreparationRun) -> dict[str, DataFrame]:
-    return {name: run.frames[name] for name in ("raw_train", "raw_test")}
+    return E.scheme_comparison(evaluate_run(run))

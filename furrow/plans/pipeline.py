@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow import model as M
-from furrow.functions.text import quoted
+from furrow.functions.text import quoted, strict_double
 from furrow.operators import split as S
 from furrow.operators.fit import FittedState, fit, select_features
 from furrow.operators.transform import output_schema, transform, unknown_counts
@@ -78,8 +79,11 @@ def run_supervised(df: DataFrame, roles: Mapping[str, str], task: str,
     eligible = S.target_present(df, target)
     missing = S.target_missing(df, target)
     stratify = target if task == M.CLASSIFICATION and config.stratify_classification else None
-    _check_split(eligible, target, task, config)
-    split = S.split_rows(eligible, config.test_size, config.random_seed, key, stratify)
+    by_target = task == M.CLASSIFICATION
+    classes = materialize(S.class_counts(eligible, target if by_target else None), "classes")
+    _check_split(eligible, classes, target, task, config)
+    split = S.split_rows(eligible, config.test_size, config.random_seed, key, stratify,
+                         classes=classes if by_target == (stratify is not None) else None)
     raw_train, raw_test = split.part(S.TRAIN), split.part(S.TEST)
     numeric = [c for c in features if roles[c] in M.NUMERIC_ROLES]
     _check_numbers(eligible, numeric)
@@ -124,12 +128,12 @@ def _check_schema(df: DataFrame, roles: Mapping[str, str]) -> None:
         raise M.PreparationError(f"the source does not match the confirmed fields ({listed})")
 
 
-def _check_split(eligible: DataFrame, target: str, task: str, config: M.PipelineConfig) -> None:
+def _check_split(eligible: DataFrame, classes: DataFrame, target: str, task: str,
+                 config: M.PipelineConfig) -> None:
     rejected = 0
-    if task == M.REGRESSION:
+    if task == M.REGRESSION and not isinstance(eligible.schema[target].dataType, T.NumericType):
         rejected = S.strict_numeric(eligible, [target]).head()["rejected"]
-    by_class = S.class_counts(eligible, target if task == M.CLASSIFICATION else None)
-    problems = S.split_preconditions(by_class, task, config, rejected).collect()
+    problems = S.split_preconditions(classes, task, config, rejected).collect()
     if problems:
         listed = ", ".join(f"{p['problem']}: {p['found']} (needs {p['required']})"
                            for p in problems)
@@ -149,6 +153,4 @@ def _check_numbers(df: DataFrame, columns: Sequence[str]) -> None:
 
 def numeric_target(df: DataFrame, target: str) -> DataFrame:
     """The rows with the target as a double; text targets were checked before."""
-    from furrow.functions.text import strict_double
-
     return df.withColumn(target, strict_double(quoted(target), df.schema[target].dataType))
