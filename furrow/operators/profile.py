@@ -11,14 +11,16 @@ from pyspark.sql import types as T
 from furrow.functions.text import quoted
 from furrow.functions.types import NESTED_NAMES, comparable, count_type, type_name
 from furrow.model import EXAMPLES, PREVIEW_ROWS, SAMPLE_ROWS
-from furrow.session import small_table
+from furrow.session import materialize, small_table
 
 # Long texts are counted by digest, so a shuffle never carries them whole.
 DIGEST_ABOVE = 64
-# Rows kept per task by a plain top-k before an intermediate level of merging pays off.
-PLAIN_TOP = 1_000
-MERGE_TASKS = 64
-HEAD_ROWS = 64
+# Rows per task that a single merging task may receive; above it, merging has two levels.
+PLAIN_TOP = 16
+MERGE_TASKS = 512
+HEAD_ROWS = 16
+# Up to this rank Spark drops rows of a ranked window before they are shuffled.
+EARLY_RANK = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 # ---- row-order operators ----------------------------------------------------------------
@@ -28,10 +30,14 @@ def first_rows(df: DataFrame, order_by: Sequence[str], n: int = SAMPLE_ROWS) ->
 
     A small `n` is one top-k: every task keeps n rows and one task merges them. For a large `n`
     the merge would receive n rows from every task of the scan, so the candidates are first cut
-    to n rows in each of 64 groups of tasks (the rank filter also runs before that shuffle).
+    to n rows in each of 512 groups of tasks; every task drops all but its own first n rows
+    before that shuffle.
     """
     keys = [quoted(c) for c in order_by]
     if n > PLAIN_TOP:
+        spark = df.sparkSession
+        if int(spark.conf.get(EARLY_RANK)) < n:
+            spark.conf.set(EARLY_RANK, str(n))
         group = Window.partitionBy("_group").orderBy(*keys)
         df = (
             df.withColumn("_group", F.spark_partition_id() % MERGE_TASKS)
@@ -174,6 +180,14 @@ def column_profile(df: DataFrame, order_by: Sequence[str], exact: bool = True) -
     )
 
 
+def stored_profile(df: DataFrame, order_by: Sequence[str], exact: bool = True) -> DataFrame:
+    """The column profile as a stored table, for the many small results that build on it.
+
+    Roles, scores and recommendations each read it several times; none may scan the data again.
+    """
+    return materialize(column_profile(df, order_by, exact), "profile")
+
+
 def dataset_profile(df: DataFrame, order_by: Sequence[str],
                     sample_rows: int | None = None) -> DataFrame:
     """The table-level row: rows profiled, whether that is a sample, width, totals.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from furrow import model as M
 from furrow.functions.text import column_id
 from furrow.functions.types import STRING_NAMES
-from furrow.session import small_table
+from furrow.session import materialize, small_table
 
 # ---- fixed values: rule ids, thresholds, actions, severity, risk, confidence, default --------
 TARGET_RULE = "BD-TARGET-001"
@@ -154,6 +154,8 @@ def enable(recs: DataFrame, previous: Sequence[str] | None = None) -> DataFrame:
 
 def selection_violations(recs: DataFrame, selected: DataFrame) -> DataFrame:
     """(problem, id) rows for a selection of ids: repeated, unknown, or in conflict."""
+    # Read several times below; stored once instead of derived from the profile each time.
+    recs = materialize(recs.select("id", "conflicts_with"), "recommendations")
     counted = selected.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
     repeated = counted.where("times > 1").select(F.lit("duplicate").alias("problem"), "id")
     unknown = counted.join(recs.select("id"), "id", "left_anti").select(

@@ -18,9 +18,10 @@ from furrow.operators import split as S
 from furrow.operators import transform as X
 from furrow.plans import evaluation, pipeline, report
 from furrow.plans.dirty import events_holed, labels_cls, lineitem_reg, orders_dirty, table
-from furrow.session import new_path, small_table
+from furrow.plans.workbooks import write_workbooks
+from furrow.session import materialize, new_path, small_table
 from furrow.sources import csv as C
-from furrow.sources import dialects, tables
+from furrow.sources import dialects, tables, xlsx
 from furrow.streaming import apply
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,11 +75,11 @@ def customer_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.infer_roles(P.column_profile(orders_dirty(spark, sf_dir), ["o_orderkey"]))
+    return R.infer_roles(P.stored_profile(orders_dirty(spark, sf_dir), ["o_orderkey"]))
 
 
 def customer_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.infer_roles(P.column_profile(customer_coded(spark, sf_dir), ["c_custkey"]))
+    return R.infer_roles(P.stored_profile(customer_coded(spark, sf_dir), ["c_custkey"]))
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +166,15 @@ def corrupt_rows(spark, sf_dir):
     return C.corrupt_rows(reader).select(F.col(C.CORRUPT).alias("line"))
 
 
+@query("xlsx_ingest")
+def xlsx_ingest(spark, sf_dir):
+    path = new_path(spark, "workbooks")
+    part = table(spark, sf_dir, "part")
+    write_workbooks(part, F.floor(F.col("p_partkey") / 500), path)
+    text = xlsx.workbook_table(xlsx.read_workbooks(spark, path), part.columns)
+    return text.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in part.schema])
+
+
 @query("parquet_roundtrip")
 def parquet_roundtrip(spark, sf_dir):
     path = new_path(spark, "parquet")
@@ -343,7 +353,7 @@ def rec_conflicts(spark, sf_dir):
 
 @query("rec_selection_check")
 def rec_selection_check(spark, sf_dir):
-    recs = _recs(spark, sf_dir)
+    recs = materialize(_recs(spark, sf_dir), "recommendations")
     twice = recs.where(F.col("rule_id") == recommend.CONSTANT).select("id")
     unknown = recs.where(F.col("rule_id") == recommend.CARDINALITY).select(
         F.concat("id", F.lit("00")).alias("id"))
@@ -432,7 +442,7 @@ def schema_drift(spark, sf_dir):
 @query("select_features")
 def select_features(spark, sf_dir):
     profile = R.with_roles(
-        P.column_profile(orders_dirty(spark, sf_dir), ["o_orderkey"]), ORDER_ROLES)
+        P.stored_profile(orders_dirty(spark, sf_dir), ["o_orderkey"]), ORDER_ROLES)
     recs = recommend.enable(recommend.recommendations(profile, M.CLASSIFICATION))
     return fit.feature_plan(profile, recs).drop("ordinal")
 
@@ -751,7 +761,7 @@ def catalog_summary(spark, sf_dir):
 def run_summary(spark, sf_dir):
     run = orders_run(spark, sf_dir)
     profile = R.with_roles(
-        P.column_profile(orders_dirty(spark, sf_dir), ["o_orderkey"]), ORDER_ROLES)
+        P.stored_profile(orders_dirty(spark, sf_dir), ["o_orderkey"]), ORDER_ROLES)
     counts = run.split.rows.groupBy(F.col(S.SPLIT).alias("part")).agg(
         F.count(F.lit(1)).alias("rows"))
     return report.run_summary(

@@ -40,13 +40,14 @@ def file_sha256(spark: SparkSession, path: str, pattern: str | None = None) -> D
     """(path, size, sha256) of every file; tasks stream their files in 1 MiB blocks."""
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums = []
+            rows = []
             for file in batch["path"]:
-                total = hashlib.sha256()
+                total, size = hashlib.sha256(), 0
                 for block in blocks(file):
                     total.update(block)
-                sums.append(total.hexdigest())
-            yield pd.DataFrame({"path": batch["path"], "size": batch["length"], "sha256": sums})
+                    size += len(block)
+                rows.append((file, size, total.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "size", "sha256"])
 
     return list_files(spark, path, pattern, files_per_task=1).mapInPandas(
         digest, "path string, size bigint, sha256 string")

@@ -138,10 +138,21 @@ def test_examples_of_columns_empty_at_the_head(spark):
 def test_large_head_equals_plain_order(spark, monkeypatch):
     df = spark.range(3000).selectExpr("(id * 7919) % 3001 as k", "id as v").repartition(9)
     want = [r["k"] for r in df.orderBy("k").limit(700).collect()]
-    monkeypatch.setattr(P, "PLAIN_TOP", 10)
+    ranked = P.first_rows(df, ["k"], 700)
+    assert [r["k"] for r in ranked.collect()] == want
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    monkeypatch.setattr(P, "PLAIN_TOP", 1000)
     assert [r["k"] for r in P.first_rows(df, ["k"], 700).collect()] == want
 
 
+def test_ranks_beyond_the_default_limit_are_still_cut_early(spark):
+    df = spark.range(5000).toDF("k").repartition(4)
+    ranked = P.first_rows(df, ["k"], 1500)
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()
+    assert [r["k"] for r in ranked.collect()] == list(range(1500))
+
+
 def test_long_texts_are_told_apart_beyond_any_prefix(spark):
     long = "x" * 500
     df = spark.createDataFrame([(long + "a",), (long + "b",), (long + "a",)], "t string")
