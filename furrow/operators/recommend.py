@@ -109,13 +109,14 @@ def recommendations(profile: DataFrame, task: str) -> DataFrame:
         F.when(when, _item(rule, F.col("column"), evidence[rule], column_id(F.col("column"))))
         for rule, when in _triggers().items()
     ])
-    items = F.filter(items, lambda r: r.isNotNull())
-    removals = F.filter(items, lambda r: r["action"] == M.REMOVE_COLUMN)
+    found = F.filter("_items", lambda r: r.isNotNull())
+    removals = F.filter(found, lambda r: r["action"] == M.REMOVE_COLUMN)
     changes = F.filter(
-        items, lambda r: ~r["action"].isin(M.REMOVE_COLUMN, M.EXCLUDE_FEATURE))
+        found, lambda r: ~r["action"].isin(M.REMOVE_COLUMN, M.EXCLUDE_FEATURE))
     by_column = (
-        profile.select(F.inline(items), _ids(removals).alias("_removals"),
-                       _ids(changes).alias("_changes"))
+        profile.select(items.alias("_items"))
+        .select(F.inline(found), _ids(removals).alias("_removals"),
+                _ids(changes).alias("_changes"))
         .withColumn("conflicts_with",
                     F.when(F.col("action") == M.REMOVE_COLUMN, F.col("_changes"))
                     .when(F.col("action") == M.EXCLUDE_FEATURE, _no_ids())

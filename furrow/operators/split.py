@@ -133,25 +133,41 @@ def split_quotas(classes: DataFrame, n: int, n_test: int) -> DataFrame:
 
 # ---- the cut --------------------------------------------------------------------------------
 
-def find_cut(rows: DataFrame, needs: DataFrame, n: int,
-             ranked_rows: int = RANKED_ROWS) -> DataFrame:
+def find_cut(rows: DataFrame, needs: DataFrame, n: int, ranked_rows: int = RANKED_ROWS,
+             single: bool = False) -> DataFrame:
     """(class, prefix, need, size): the last test token of each class.
 
     `rows` holds (class, token) and `needs` (class, need) with need >= 1. `need` of the `size`
     rows with that very token belong to the test part; with unique keys both are one. Every
     narrowing step reads the two columns once and shuffles at most 4,096 counts per class.
+    `single` says that there is but one class.
     """
-    widths = []
-    while n > ranked_rows * 16 ** (len(widths) * PREFIX_STEP):
-        widths.append((len(widths) + 1) * PREFIX_STEP)
+    widths = [0]
+    while n > ranked_rows * 16 ** widths[-1]:
+        widths.append(widths[-1] + PREFIX_STEP)
     edge = needs.select(CLASS, F.lit("").alias("prefix"), "need")
-    for width in [*widths, TOKEN_WIDTH]:
-        edge = materialize(_narrow(rows, edge, width), "cut")
+    for known, width in zip(widths, [*widths[1:], TOKEN_WIDTH]):
+        edge = materialize(_narrow(_inside(rows, edge, known, single), width), "cut")
     return edge
 
 
-def _narrow(rows: DataFrame, edge: DataFrame, width: int) -> DataFrame:
-    inside = rows.join(edge, CLASS).where(F.col(TOKEN).startswith(F.col("prefix")))
+def _inside(rows: DataFrame, edge: DataFrame, known: int, single: bool) -> DataFrame:
+    """Rows whose token starts with their class's prefix of `known` characters, and the need.
+
+    With one class its prefix is a literal of the filter; otherwise the prefixes are looked up.
+    """
+    if single:
+        only = edge.head()
+        if only is None:
+            return rows.where(F.lit(False)).withColumn("need", F.lit(0).cast("bigint"))
+        inside = rows.where(F.col(TOKEN).startswith(only["prefix"])) if known else rows
+        return inside.withColumn("need", F.lit(only["need"]).cast("bigint"))
+    joined = rows.join(edge, CLASS)
+    return joined.where(F.col(TOKEN).startswith(F.col("prefix"))) if known else joined
+
+
+def _narrow(inside: DataFrame, width: int) -> DataFrame:
+    """The prefix of `width` characters that holds the needed rank, and the rank inside it."""
     counts = (
         inside.groupBy(CLASS, "need", F.substring(TOKEN, 1, width).alias("prefix"))
         .agg(F.count(F.lit(1)).alias("size"))
@@ -196,14 +212,14 @@ def split_rows(df: DataFrame, test_size: float, seed: int, key: Sequence[str] |
     n_test = test_rows(n, test_size)
     quotas = materialize(split_quotas(classes, n, n_test), "quotas")
     needs = quotas.where("quota > 0").select(CLASS, F.col("quota").alias("need"))
-    cut = find_cut(hashed.select(CLASS, TOKEN), needs, n, ranked_rows)
-    shared = cut.where("need < size")
-    if shared.head() is None:
-        last = cut.select(CLASS, F.col("prefix").alias("_last"))
-        # A stored table of one row per class: the optimizer knows its size and broadcasts it.
-        marked = _decide(hashed.join(last, CLASS, "left"), TOKEN, df.columns)
+    single = stratify_by is None
+    cut = find_cut(hashed.select(CLASS, TOKEN), needs, n, ranked_rows, single)
+    if cut.where("need < size").head() is not None:
+        marked = _split_ties(hashed, cut, n, ranked_rows, df.columns, single)
     else:
-        marked = _split_ties(hashed, cut, n, ranked_rows, df.columns)
+        # A stored table of one row per class: the optimizer knows its size and broadcasts it.
+        marked = _decide(_look_up(hashed, cut, {"_last": F.col("prefix")}, single),
+                         TOKEN, df.columns)
     return Split(marked, n, n_test, stratify_by is not None, quotas)
 
 
@@ -219,26 +235,24 @@ def _decide(rows: DataFrame, token: str, names: Sequence[str]) -> DataFrame:
 
 
 def _split_ties(hashed: DataFrame, cut: DataFrame, n: int, ranked_rows: int,
-                names: Sequence[str]) -> DataFrame:
+                names: Sequence[str], single: bool) -> DataFrame:
     """The split where the cut runs through rows with one token.
 
     Such rows are cut again by a token over all of their columns. What still ties is copies of
     one row: those are counted, divided by number, and written out again over many tasks.
     """
     full = hashed.withColumn("_full", whole_row_token(names))
-    last = cut.select(CLASS, F.col("prefix").alias("_last"), "need", "size")
-    joined = full.join(last, CLASS, "left")
+    columns = {"_last": F.col("prefix"), "need": F.col("need"), "size": F.col("size")}
+    joined = _look_up(full, cut, columns, single)
     tied = (F.col(TOKEN) == F.col("_last")) & (F.col("need") < F.col("size"))
     is_tied = F.coalesce(tied, F.lit(False))
     ties = joined.where(is_tied).select(*[quoted(c) for c in names], CLASS,
                                         F.col("_full").alias(TOKEN))
     second = find_cut(ties.select(CLASS, TOKEN),
-                      cut.where("need < size").select(CLASS, "need"), n, ranked_rows)
-    copies = second.where("need < size").select(
-        CLASS, F.col("prefix").alias("_copied"), "need", "size")
+                      cut.where("need < size").select(CLASS, "need"), n, ranked_rows, single)
     clear = _decide(joined.where(~is_tied), TOKEN, names)
-    last_full = second.select(CLASS, F.col("prefix").alias("_last"))
-    marked = ties.join(last_full, CLASS, "left").join(copies, CLASS, "left")
+    copied = F.when(F.col("need") < F.col("size"), F.col("prefix"))
+    marked = _look_up(ties, second, {**columns, "_copied": copied}, single)
     is_copy = F.coalesce(F.col(TOKEN) == F.col("_copied"), F.lit(False))
     settled = _decide(marked.where(~is_copy), TOKEN, names)
     single = (
@@ -253,6 +267,19 @@ def _split_ties(hashed: DataFrame, cut: DataFrame, n: int, ranked_rows: int,
     return clear.unionByName(settled).unionByName(_repeat(both))
 
 
+def _look_up(rows: DataFrame, cut: DataFrame, columns: dict[str, Column],
+             single: bool) -> DataFrame:
+    """Rows with values of their class's cut: literals for one class, else a left join."""
+    wanted = cut.select(CLASS, *[c.alias(name) for name, c in columns.items()])
+    if not single:
+        return rows.join(wanted, CLASS, "left")
+    only = wanted.head()
+    return rows.withColumns({
+        name: F.lit(only[name] if only else None).cast(wanted.schema[name].dataType)
+        for name in columns
+    })
+
+
 def _repeat(df: DataFrame) -> DataFrame:
     """Every row `_times` times, at most a million of them from one task."""
     blocks = F.ceil(F.col("_times") / COPIES_PER_TASK).cast("bigint")
