@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.functions.text import quoted
+from furrow.functions.text import NUMBER, quoted
 from furrow.functions.types import NESTED_NAMES, comparable, count_type, type_name
 from furrow.model import EXAMPLES, PREVIEW_ROWS, SAMPLE_ROWS
 from furrow.session import materialize, small_table
@@ -19,6 +19,8 @@ DIGEST_ABOVE = 64
 PLAIN_TOP = 16
 MERGE_TASKS = 512
 HEAD_ROWS = 16
+WHOLE = r"^[+-]?[0-9]{1,19}$"
+DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T].*)?$"
 # Up to this rank Spark drops rows of a ranked window before they are shuffled.
 EARLY_RANK = "spark.sql.optimizer.windowGroupLimitThreshold"
 
@@ -74,6 +76,46 @@ def schema_infer(df: DataFrame) -> DataFrame:
     return small_table(df.sparkSession, rows, "ordinal int, column string, inferred_type string")
 
 
+def text_types(df: DataFrame, dates: bool = False) -> DataFrame:
+    """(column, inferred_type) of text columns, from what all of their values can be read as.
+
+    One aggregate pass over all columns. A column without values stays text. Dates are only
+    recognized on request, since text files keep them as text.
+    """
+    readings = {
+        "Int64": lambda c: c.rlike(WHOLE) & c.try_cast("bigint").isNotNull(),
+        "Float64": lambda c: c.rlike(NUMBER),
+        "Boolean": lambda c: F.lower(c).isin("true", "false"),
+    }
+    if dates:
+        readings["Datetime"] = lambda c: c.rlike(DATE) & c.try_cast("timestamp_ntz").isNotNull()
+    counts = df.agg(*[
+        F.struct(F.count(quoted(c)).alias("present"), *[
+            F.count(F.when(fits(quoted(c)), 1)).alias(kind) for kind, fits in readings.items()
+        ]).alias(f"_{i}") for i, c in enumerate(df.columns)
+    ])
+
+    def kind(i: int) -> Column:
+        fitting = F.lit("String")
+        for name in reversed(readings):
+            all_fit = F.col(f"_{i}.{name}") == F.col(f"_{i}.present")
+            fitting = F.when(all_fit & (F.col(f"_{i}.present") > 0), name).otherwise(fitting)
+        return fitting
+
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), kind(i).alias("inferred_type"))
+        for i, c in enumerate(df.columns)
+    ])))
+
+
+def typed(df: DataFrame, dates: bool = False) -> DataFrame:
+    """Text columns in the types that all of their values fit."""
+    casts = {"Int64": "bigint", "Float64": "double", "Boolean": "boolean",
+             "Datetime": "timestamp_ntz", "String": "string"}
+    found = {r["column"]: casts[r["inferred_type"]] for r in text_types(df, dates).collect()}
+    return df.select(*[quoted(c).cast(found[c]).alias(c) for c in df.columns])
+
+
 def missing_stats(df: DataFrame) -> DataFrame:
     """Rows and missing cells per column, in one pass without a data shuffle."""
     counts = df.agg(

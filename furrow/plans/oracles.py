@@ -587,7 +587,9 @@ SELECT split AS part, count(*) AS rows, FALSE AS scored FROM parts GROUP BY spli
 ORACLES["csv_scan"] = """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
   strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders"""
-ORACLES["xlsx_ingest"] = "SELECT * FROM part"
+ORACLES["xlsx_ingest"] = """
+SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice
+FROM part"""
 ORACLES["csv_dialects"] = """
 SELECT d.dialect, 'utf-8' AS encoding, d.delimiter,
   (SELECT string_agg(column_name, '|') FROM (DESCRIBE customer)) AS header

@@ -171,8 +171,8 @@ def xlsx_ingest(spark, sf_dir):
     path = new_path(spark, "workbooks")
     part = table(spark, sf_dir, "part")
     write_workbooks(part, F.floor(F.col("p_partkey") / 500), path)
-    text = xlsx.workbook_table(xlsx.read_workbooks(spark, path), part.columns)
-    return text.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in part.schema])
+    rows = materialize(xlsx.read_workbooks(spark, path), "cells")
+    return xlsx.workbook_frame(rows, part.columns)
 
 
 @query("parquet_roundtrip")

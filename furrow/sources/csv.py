@@ -14,6 +14,8 @@ from furrow.sources.dialects import UTF8, csv_dialects, header_problems
 # Written before the first column name, it makes every part file begin with the bytes EF BB BF.
 BOM = "\ufeff"
 CORRUPT = "_corrupt_record"
+# A quote inside quotes is doubled.
+QUOTE = '"'
 # Formats that no text has, so that dates stay text as the profile reports them.
 NEVER = "'#'"
 
@@ -25,6 +27,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None,
 
     Without a dialect or schema these are found first: the dialect from the first bytes of the
     files, which must agree, and the types by a pass over the data. Give a schema for big data.
+    `multiline` allows line breaks inside quotes; a file can then not be divided among tasks.
     """
     delimiter, encoding = _dialect(spark, path, delimiter, encoding)
     reader = _reader(spark, delimiter, encoding, multiline).option("mode", "FAILFAST")
@@ -70,7 +73,10 @@ def write_csv(df: DataFrame, path: str, header: bool = True, delimiter: str = ",
     if bom and header:
         first = df.columns[0]
         df = df.select(quoted(first).alias(BOM + first), *[quoted(c) for c in df.columns[1:]])
-    df.write.options(header=header, sep=delimiter, encoding="UTF-8").csv(path)
+    df.write.options(
+        header=header, sep=delimiter, encoding="UTF-8", quote=QUOTE, escape=QUOTE,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
 def _reader(spark: SparkSession, delimiter: str, encoding: str, multiline: bool):
@@ -79,6 +85,7 @@ def _reader(spark: SparkSession, delimiter: str, encoding: str, multiline: bool)
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return spark.read.options(
         header=True, sep=delimiter, encoding=encoding, multiLine=multiline, enforceSchema=False,
+        quote=QUOTE, escape=QUOTE,
         dateFormat=NEVER, timestampFormat=NEVER, timestampNTZFormat=NEVER, preferDate=False,
     )
 

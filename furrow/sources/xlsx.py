@@ -7,17 +7,21 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.operators.profile import typed
 from furrow.sources.storage import list_files, open_binary
 
 # ---- fixed values: names of the office open XML format ---------------------------------------
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
+DAY_ZERO = datetime(1899, 12, 30)
 # ----------------------------------------------------------------------------------------------
 
 SCHEMA = ("path string, sheet string, row_number bigint, header array<string>, "
@@ -47,6 +51,11 @@ def workbook_table(rows: DataFrame, header: list[str]) -> DataFrame:
         *[F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(header)])
 
 
+def workbook_frame(rows: DataFrame, header: list[str]) -> DataFrame:
+    """The same table with numbers, booleans and dates where a whole column holds them."""
+    return typed(workbook_table(rows, header), dates=True)
+
+
 def _frames(path: str, sample_rows: int | None) -> Iterator[pd.DataFrame]:
     names = ["path", "sheet", "row_number", "header", "cells", "error"]
     try:
@@ -96,7 +105,7 @@ def _active_sheet(book: zipfile.ZipFile) -> tuple[str, str]:
 
 
 def _sheet_rows(book: zipfile.ZipFile, part: str) -> Iterator[list[str | None]]:
-    shared = _shared_strings(book)
+    shared, dated = _shared_strings(book), _date_styles(book)
     with book.open(part) as stream:
         for _, row in ElementTree.iterparse(stream):
             if row.tag == f"{MAIN}row":
@@ -104,7 +113,7 @@ def _sheet_rows(book: zipfile.ZipFile, part: str) -> Iterator[list[str | None]]:
                 for cell in row.findall(f"{MAIN}c"):
                     at = _position(cell.get("r"), len(cells))
                     cells += [None] * (at - len(cells))
-                    cells.append(_cell_text(cell, shared))
+                    cells.append(_cell_text(cell, shared, dated))
                 yield cells
                 row.clear()
 
@@ -119,7 +128,7 @@ def _position(reference: str | None, default: int) -> int:
     return number - 1
 
 
-def _cell_text(cell: ElementTree.Element, shared: list[str]) -> str | None:
+def _cell_text(cell: ElementTree.Element, shared: list[str], dated: set[int]) -> str | None:
     kind = cell.get("t")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
@@ -130,9 +139,28 @@ def _cell_text(cell: ElementTree.Element, shared: list[str]) -> str | None:
         return shared[int(value.text)]
     if kind == "b":
         return "true" if value.text == "1" else "false"
+    if kind in (None, "n") and int(cell.get("s", "0")) in dated:
+        # A day number; rounded to milliseconds, the precision such numbers have.
+        at = DAY_ZERO + timedelta(milliseconds=round(float(value.text) * 86_400_000))
+        return at.isoformat(sep=" ")
     return value.text
 
 
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a number as a date or time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    tree = ElementTree.fromstring(book.read("xl/styles.xml"))
+    dates = set(DATE_FORMATS)
+    for custom in tree.iter(f"{MAIN}numFmt"):
+        # Quoted text, escapes and bracketed colours do not count as date letters.
+        code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", custom.get("formatCode", "")).lower()
+        if re.search("[ymdhs]", code) and "general" not in code:
+            dates.add(int(custom.get("numFmtId")))
+    styles = tree.findall(f"{MAIN}cellXfs/{MAIN}xf")
+    return {i for i, xf in enumerate(styles) if int(xf.get("numFmtId", "0")) in dates}
+
+
 def _shared_strings(book: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in book.namelist():
         return []

@@ -11,6 +11,7 @@ from furrow import model as M
 from furrow.operators import fit
 from furrow.operators import manifest as R
 from furrow.operators.catalog import catalog_list, catalog_search, catalog_summary
+from furrow.operators.profile import typed as P_typed
 from furrow.operators.transform import transform
 from furrow.plans import pipeline as P
 from furrow.sources import csv as C
@@ -92,11 +93,36 @@ def test_csv_export_starts_with_a_mark(spark, tmp_path):
     C.write_csv(df, str(tmp_path / "out"))
     parts = glob.glob(str(tmp_path / "out" / "part-*.csv"))
     assert parts and all(open(p, "rb").read(3) == b"\xef\xbb\xbf" for p in parts)
-    back = spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "out"))
+    back = C.read_csv(spark, str(tmp_path / "out"), delimiter=",", encoding="utf-8")
     assert back.columns == ["n", "c"]
+    assert sorted(map(tuple, back.collect())) == [(1, "上海"), (2, 'say "x", y')]
 
 
-def workbook(path, rows, second=None, active=0, shared=("name", "score")):
+def test_exported_text_is_not_trimmed(spark, tmp_path):
+    df = spark.createDataFrame([(1, "  padded "), (2, "a;b"), (3, None)], "n bigint, c string")
+    C.write_csv(df, str(tmp_path / "out"), delimiter=";")
+    back = C.read_csv(spark, str(tmp_path / "out"), delimiter=";", encoding="utf-8")
+    assert sorted(map(tuple, back.collect())) == [(1, "  padded "), (2, "a;b"), (3, None)]
+
+
+def test_line_breaks_and_doubled_quotes_inside_quotes(spark, tmp_path):
+    text = 'a,b\n1,"x\ny ""z"""\n2,plain\n'
+    df = C.read_csv(spark, put(tmp_path, "x.csv", text), ",", "utf-8", multiline=True)
+    assert sorted(map(tuple, df.collect())) == [(1, 'x\ny "z"'), (2, "plain")]
+
+
+def test_text_types(spark):
+    df = spark.createDataFrame(
+        [("1", "1", "true", "2024-01-02", "x", None), ("-2", "2.5", "False", "2024-01-03 10:00:00",
+                                                       "1", None),
+         (None, None, None, None, None, None)], "i string, f string, b string, d string, s string, "
+        "n string")
+    assert [t for _, t in P_typed(df, True).dtypes] == [
+        "bigint", "double", "boolean", "timestamp_ntz", "string", "string"]
+    assert [t for _, t in P_typed(df).dtypes][3] == "string"
+
+
+def workbook(path, rows, second=None, active=0, shared=("name", "score"), styles=None):
     def sheet(body):
         return ('<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
                 f"<sheetData>{body}</sheetData></worksheet>")
@@ -115,6 +141,8 @@ def workbook(path, rows, second=None, active=0, shared=("name", "score")):
                       "</Relationships>")
         book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(
             f"<si><t>{s}</t></si>" for s in shared) + "</sst>")
+        if styles:
+            book.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}">{styles}</styleSheet>')
         book.writestr("xl/worksheets/sheet1.xml", sheet(rows))
         book.writestr("xl/worksheets/sheet2.xml", sheet(second or ""))
 
@@ -145,6 +173,21 @@ def test_workbooks(spark, tmp_path):
     assert xlsx.read_workbooks(spark, str(tmp_path), 1).where("error is null").count() == 2
 
 
+def test_workbook_dates_numbers_and_types(spark, tmp_path):
+    styles = ('<numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/>'
+              '<numFmt numFmtId="165" formatCode="0.0 &quot;days&quot;"/></numFmts><cellXfs>'
+              '<xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/>'
+              "</cellXfs>")
+    body = (HEADER + '<row r="2"><c r="A2" s="1"><v>45293</v></c><c r="B2" s="3"><v>1.5</v></c></row>'
+            '<row r="3"><c r="A3" s="2"><v>45293.5</v></c><c r="B3"><v>2</v></c></row>')
+    workbook(tmp_path / "dates.xlsx", body, styles=styles)
+    rows = xlsx.read_workbooks(spark, str(tmp_path))
+    frame = xlsx.workbook_frame(rows, ["name", "score"])
+    assert frame.dtypes == [("name", "timestamp_ntz"), ("score", "double")]
+    assert sorted(str(r["name"]) for r in frame.collect()) == [
+        "2024-01-02 00:00:00", "2024-01-02 12:00:00"]
+
+
 def test_files_and_tables_have_fingerprints(spark, tmp_path):
     put(tmp_path, "a.bin", b"abc" * 1_000_000)
     put(tmp_path, "b.bin", b"")
