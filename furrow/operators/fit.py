@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow import model as M
 from furrow.functions.text import normalize_category, quoted, rejected_number, strict_double
@@ -172,14 +173,11 @@ def numeric_facts(train: DataFrame, columns: Sequence[str], median: bool = True,
     facts: dict[str, dict[str, float]] = {}
     for start in range(0, len(columns), COLUMNS_PER_PASS):
         chunk = columns[start:start + COLUMNS_PER_PASS]
-        values = train.select(*[
-            F.struct(strict_double(quoted(c), types[c]).alias("x"),
-                     rejected_number(quoted(c), types[c]).alias("bad")).alias(f"_{i}")
-            for i, c in enumerate(chunk)
-        ])
-        row = values.agg(*[
-            F.struct(*_measures(F.col(f"_{i}.x"), F.col(f"_{i}.bad"), small)).alias(f"_{i}")
-            for i in range(len(chunk))
+        values = [strict_double(quoted(c), types[c]).alias(f"_x{i}") for i, c in enumerate(chunk)]
+        bad = {i: rejected_number(quoted(c), types[c]).cast("bigint").alias(f"_bad{i}")
+               for i, c in enumerate(chunk) if not isinstance(types[c], T.NumericType)}
+        row = train.select(*values, *bad.values()).agg(*[
+            F.expr(_measures(i, i in bad, small)).alias(f"_{i}") for i in range(len(chunk))
         ]).head()
         facts.update({c: row[f"_{i}"].asDict() for i, c in enumerate(chunk)})
     if median and not small:
@@ -188,17 +186,13 @@ def numeric_facts(train: DataFrame, columns: Sequence[str], median: bool = True,
     return facts
 
 
-def _measures(x: Column, bad: Column, median: bool) -> list[Column]:
-    measures = [
-        F.count(F.lit(1)).alias("rows"),
-        F.count(x).alias("present"),
-        F.coalesce(F.sum(bad.cast("bigint")), F.lit(0)).alias("rejected"),
-        F.avg(x).alias("mean"),
-        F.var_pop(x).alias("variance"),
-        F.min(x).alias("low"),
-        F.max(x).alias("high"),
-    ]
-    return [*measures, F.median(x).alias("median")] if median else measures
+def _measures(i: int, checked: bool, median: bool) -> str:
+    """One SQL expression per column; building it from parts costs more than running it."""
+    rejected = f"coalesce(sum(_bad{i}), 0)" if checked else "0L"
+    exact = f", median(_x{i}) AS median" if median else ""
+    return (f"struct(count(1) AS rows, count(_x{i}) AS present, {rejected} AS rejected, "
+            f"avg(_x{i}) AS mean, var_pop(_x{i}) AS variance, min(_x{i}) AS low, "
+            f"max(_x{i}) AS high{exact})")
 
 
 def _numeric_state(name: str, f: Mapping[str, float], config: M.PipelineConfig) -> ColumnState:
