@@ -5,14 +5,12 @@ import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
 
-from furrow.session import CHECKPOINT_KEY, local_session  # noqa: E402
+from furrow.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = local_session(4, shuffle_partitions=4)
-    if not session.conf.get(CHECKPOINT_KEY, None):
-        session.conf.set(CHECKPOINT_KEY, str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
