@@ -56,3 +56,62 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
        {_RULES_SQL} AS kept, n_lines, n_exclamations, n_stop_words
 FROM counted
 """
+
+# DuckDB has no base32: the digest's bits in groups of five, out of the hex digits.
+ORACLES["op4_archive_conversion"] = """
+WITH paged AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages),
+digests AS (
+  SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           (CAST('0x' || substr(hex, 1 + (k * 5) // 4, 2) || '0' AS INTEGER)
+            >> (7 - (k * 5) % 4)) & 31 AS INTEGER), 1), '' ORDER BY k) AS b32
+  FROM (SELECT DISTINCT hex FROM paged), range(32) AS t(k) GROUP BY hex),
+firsts AS (SELECT page_id, h, hex, min(page_id) OVER (PARTITION BY h) AS first_id FROM paged)
+SELECT page_id, strlen(h) AS payload_bytes, b32 AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts JOIN digests USING (hex)
+"""
+
+ORACLES["op8_source_mixing"] = """
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\x0C\\r]+')) AS size
+  FROM documents),
+marked AS (
+  SELECT doc_id, source, size,
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(t)) AS mark,
+         1 / (1 + 20 * length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::DOUBLE
+                  / greatest(length(t), 1)) AS quality
+  FROM docs),
+keyed AS (
+  SELECT *, -ln((CAST('0x' || substr(mark, 1, 13) AS BIGINT)::DOUBLE + 0.5)
+                / 4503599627370496) / quality AS key FROM marked),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+weighted AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS most,
+         ([3.0, 1.0, 2.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE
+           AS weight FROM sizes),
+filled AS (
+  SELECT *, coalesce(sum(most) OVER o, 0) AS most_before,
+         coalesce(sum(weight) OVER o, 0) AS weight_before, sum(source_size) OVER () AS total,
+         sum(weight) OVER () AS all_weight FROM weighted
+  WINDOW o AS (ORDER BY most / weight, source NULLS LAST
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (
+  SELECT *, (1.5::DOUBLE * total - most_before) / (all_weight - weight_before) AS level
+  FROM filled),
+targets AS (
+  SELECT source, source_size, least(most, weight * (
+           SELECT min_by(level, most / weight) FROM levels WHERE level <= most / weight)) AS target
+  FROM levels),
+planned AS (
+  SELECT k.*, source_size, target,
+         CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
+         coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, mark
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (size * (epochs + (before + size / 2 <= target - epochs * source_size)::BIGINT))::BIGINT
+         AS taken FROM planned
+"""

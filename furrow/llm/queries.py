@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from furrow.llm.archive import archived_pages
+from furrow.llm.bpe import encode_documents
 from furrow.llm.common import table
 from furrow.llm.exact import exact_copies
+from furrow.llm.mixing import mix
 from furrow.llm.rules import quality_verdicts
+from furrow.llm.transducer import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,3 +32,28 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_quality_rules")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).drop("failed_rules")
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op3_bpe_round_trip")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op4_archive_conversion")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op8_source_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
