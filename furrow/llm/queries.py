@@ -10,6 +10,7 @@ from furrow.llm.archive import archived_pages
 from furrow.llm.bpe import encode_documents
 from furrow.llm.common import table
 from furrow.llm.exact import exact_copies
+from furrow.llm.lines import line_dedup
 from furrow.llm.mixing import mix
 from furrow.llm.rules import quality_verdicts
 from furrow.llm.transducer import token_counts
@@ -57,3 +58,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
