@@ -10,6 +10,7 @@ from furrow.llm.archive import archived_pages
 from furrow.llm.bpe import encode_documents
 from furrow.llm.common import table
 from furrow.llm.exact import exact_copies
+from furrow.llm.jaccard import jaccard_links
 from furrow.llm.lines import line_dedup
 from furrow.llm.mixing import mix
 from furrow.llm.rules import quality_verdicts
@@ -63,3 +64,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_line_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op9_ngram_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(table(spark, sf_dir, "documents")).drop("mark")
