@@ -1,5 +1,7 @@
 """SQL for the queries that SQL can express."""
 
+from furrow.llm.license_texts import NOTICES, SPELLINGS, TEXTS
+from furrow.llm.licenses import COPYRIGHT_LINE, SEPARATORS
 from furrow.llm.rules import STOP_WORDS
 
 ORACLES: dict[str, str] = {}
@@ -115,3 +117,48 @@ SELECT doc_id, size, source_size, target,
        (size * (epochs + (before + size / 2 <= target - epochs * source_size)::BIGINT))::BIGINT
          AS taken FROM planned
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(line: str) -> str:
+    words = f"' ' || regexp_replace(lower({line}), '{SEPARATORS}', ' ', 'g') || ' '"
+    for variant, standard in SPELLINGS:
+        words = f"replace({words}, ' {variant} ', ' {standard} ')"
+    return (f"CASE WHEN regexp_matches(lower({line}), '{COPYRIGHT_LINE}') THEN '' "
+            f"ELSE trim({words}) END")
+
+
+def _values(pairs) -> str:
+    return ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in pairs)
+
+
+ORACLES["op6_license_scan"] = f"""
+WITH texts AS (
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id, NULL AS license_id,
+         coalesce(text, '') AS t FROM documents
+  UNION ALL SELECT 'k', -row_number() OVER (), NULL, column0, column1
+  FROM (VALUES {_values(TEXTS)}) AS v(column0, column1)
+  UNION ALL SELECT 'n', -1000 - row_number() OVER (), NULL, column0, column1
+  FROM (VALUES {_values(NOTICES)}) AS v(column0, column1)),
+lines AS (
+  SELECT r, k, {_canonical_sql("line")} AS c FROM (
+    SELECT r, unnest(string_split(t, chr(10))) AS line,
+           unnest(range(len(string_split(t, chr(10))))) AS k FROM texts)),
+wholes AS (
+  SELECT kind, r, doc_id, license_id, sha256(coalesce(whole, '')) AS digest
+  FROM texts LEFT JOIN (
+    SELECT r, string_agg(c, ' ' ORDER BY k) AS whole FROM lines WHERE c <> '' GROUP BY r) USING (r)),
+known AS (SELECT digest, min(license_id) AS license_id FROM wholes WHERE kind = 'k' GROUP BY 1),
+noted AS (SELECT digest, min(license_id) AS license_id FROM wholes WHERE kind = 'n' GROUP BY 1),
+notices AS (
+  SELECT r, string_agg(license_id, ',' ORDER BY license_id) AS notice_ids FROM (
+    SELECT DISTINCT r, n.license_id FROM lines JOIN noted n ON sha256(c) = n.digest
+    WHERE c <> '') GROUP BY r)
+SELECT doc_id, w.digest AS canonical_sha256, known.license_id,
+       coalesce(notice_ids, '') AS notice_ids
+FROM wholes w LEFT JOIN known ON w.digest = known.digest LEFT JOIN notices USING (r)
+WHERE kind = 'd'
+"""

@@ -11,8 +11,10 @@ from furrow.llm.bpe import encode_documents
 from furrow.llm.common import table
 from furrow.llm.exact import exact_copies
 from furrow.llm.jaccard import jaccard_links
+from furrow.llm.licenses import license_scan
 from furrow.llm.lines import line_dedup
 from furrow.llm.mixing import mix
+from furrow.llm.ordinal import fit, graded, label_grade
 from furrow.llm.rules import quality_verdicts
 from furrow.llm.transducer import token_counts
 
@@ -69,3 +71,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(table(spark, sf_dir, "documents")).drop("mark")
+
+
+@query("op5_ordinal_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return graded(docs, fit(docs, table(spark, sf_dir, "labels"), label_grade()))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
