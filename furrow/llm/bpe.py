@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from furrow.llm.common import doc_columns
 from furrow.session import ship_package
 
-LEAF = 16_384
+LEAF = 65_536
 # Characters on either side of a join that the first window takes; longer than any added token.
 WINDOW = 128
 # Words that a worker remembers, and the longest of them.
@@ -65,7 +65,7 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, tuple[int, str, str]] = {"": (0, "", "")}
+        self.words: dict[str, tuple[int, str, str, bytes]] = {}
 
     @classmethod
     def at(cls, path: str) -> Coder:
@@ -84,17 +84,18 @@ class Coder:
     def learn(self, texts: list[list[str]]) -> None:
         """Remember the words of these texts that are new."""
         if len(self.words) > REMEMBERED:
-            self.words = {"": (0, "", "")}
+            self.words = {}
         new = list({word for text in texts for word in text}.difference(self.words))
         for start in range(0, len(new), 20_000):
             some = new[start:start + 20_000]
             ids = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
             decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
             self.words.update(zip(some, zip(
-                map(len, ids), (" ".join(map(str, i)) for i in ids), decoded)))
+                map(len, ids), (" ".join(map(str, i)) for i in ids), decoded,
+                (np.array(i, np.int32).tobytes() for i in ids))))
 
-    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Per text: token count, SHA-256 of its ids and of the decoded text.
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str, bytes]]:
+        """Per text: token count, SHA-256 of its ids and of the decoded text, ids as int32.
 
         Decoding puts one space between tokens, so it goes word by word as well.
         """
@@ -103,7 +104,7 @@ class Coder:
         for text in split:
             found = [x for x in map(self.words.__getitem__, text) if x[0]]
             yield (sum(x[0] for x in found), sha256(" ".join([x[1] for x in found])),
-                   sha256(" ".join([x[2] for x in found])))
+                   sha256(" ".join([x[2] for x in found])), b"".join([x[3] for x in found]))
 
 
 def sha256(text: str) -> str:
@@ -187,23 +188,22 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id",
     result = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (
         ", ids array<int>" if with_ids else "")
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.at(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 some = batch.slice(start, 512)
-                texts = some.column("text").to_pylist()
-                columns = [some.column("doc_id"),
-                           *map(list, zip(*coder.digests(texts)))]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                counts, ids, decoded, packed = map(list, zip(*coder.digests(
+                    some.column("text").to_pylist())))
+                columns = [some.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids),
+                           pa.array(decoded)]
                 if with_ids:
-                    columns.append(pa.array(
-                        [[int(i) for w in _WORD.findall(t) if coder.words[w][0]
-                          for i in coder.words[w][1].split(" ")] for t in texts],
-                        pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+                    ends = np.cumsum([0, *counts]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(
+                        ends, np.frombuffer(b"".join(packed), np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

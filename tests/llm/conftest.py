@@ -1,0 +1,20 @@
+import os
+import sys
+
+import pytest
+
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.join(HERE, "..")]
+
+from llm_rows import EDGE_ROWS, SCHEMA  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def edge(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names."""
+    return spark.createDataFrame(EDGE_ROWS, SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
