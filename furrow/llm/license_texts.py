@@ -117,8 +117,10 @@ NOTICES = (
 )
 # Spellings that count as one: pattern over lower-case words, and what stands for them.
 SPELLINGS = (
-    ("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"),
-    ("sub licence", "sublicense"), ("non infringement", "noninfringement"),
+    ("licence", "license"), ("licenced", "licensed"),
+    ("sublicence", "sublicense"), ("sub license", "sublicense"),
+    ("sub licence", "sublicense"),
+    ("non infringement", "noninfringement"),
     ("acknowledgement", "acknowledgment"), ("organisation", "organization"),
     ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"),
     ("copyright owners", "copyright holders"), ("https", "http"),

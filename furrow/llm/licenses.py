@@ -11,7 +11,8 @@ from furrow.llm.common import doc_columns, let
 from furrow.llm.license_texts import NOTICES, SPELLINGS, TEXTS
 
 # ---- fixed values: lines that name an owner, and what separates words -----------------------
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}©(]*(copyright|©|\(c\)|all rights reserved)"
+COPYRIGHT_LINE = (r"^[^\p{L}\p{N}©(]*((copyright\s*)?(©|\(c\))|copyright\s+([0-9<\[{]|by )"
+                  r"|copyright\s*$|all rights reserved)")
 SEPARATORS = r"[^\p{L}\p{N}]+"
 # -------------------------------------------------------------------------------------------
 

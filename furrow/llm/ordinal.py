@@ -101,8 +101,8 @@ def fitted(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int) -> Model
     Gradients add up over documents, so features that many documents agree on move first.
     """
     # A fixed order, so that sums do not depend on how rows arrive.
-    y = np.array([g for g, _, _ in rows])
-    size = np.array([len(s) for _, s, _ in rows])
+    y = np.array([g for g, _, _ in rows], dtype=np.int64)
+    size = np.array([len(s) for _, s, _ in rows], dtype=np.int64)
     of = np.repeat(np.arange(len(rows)), size)
     slot = np.concatenate([s for _, s, _ in rows]) if rows else np.zeros(0, np.int32)
     value = np.concatenate([v for _, _, v in rows]) if rows else np.zeros(0, np.float32)
