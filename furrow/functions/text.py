@@ -52,9 +52,39 @@ def keyed_token(keys: Iterable[Column], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
 
 
-def whole_row_token(names: Iterable[str]) -> Column:
-    """A token over every column of a row; equal rows, and only they, share it."""
-    return F.md5(F.to_json(F.struct(*[F.col(f"`{n}`") for n in names])).cast("binary"))
+def exact_text(value: Column, dtype: T.DataType) -> Column:
+    """Text that two values share exactly if they are equal; null has one of its own.
+
+    Numbers and times print all their digits, both zeros are one, and every part of a nested value
+    is preceded by its length, so no separator can be mistaken.
+    """
+    if isinstance(dtype, T.StructType):
+        text = F.concat(F.lit(""), *[_with_length(exact_text(value[f.name], f.dataType))
+                                     for f in dtype.fields])
+    elif isinstance(dtype, T.ArrayType):
+        text = F.concat(F.lit(""), F.array_join(F.transform(
+            value, lambda x: _with_length(exact_text(x, dtype.elementType))), ""))
+    elif isinstance(dtype, T.MapType):
+        entry = T.StructType([T.StructField("key", dtype.keyType),
+                              T.StructField("value", dtype.valueType)])
+        text = exact_text(F.array_sort(F.map_entries(value)), T.ArrayType(entry))
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        text = F.when(value == 0, "0").otherwise(value.cast("string"))
+    elif isinstance(dtype, T.BinaryType):
+        text = F.hex(value)
+    else:
+        text = value.cast("string")
+    return F.coalesce(F.concat(F.lit("="), text), F.lit(NULL_MARK))
+
+
+def _with_length(text: Column) -> Column:
+    return F.concat(F.length(text).cast("string"), F.lit(":"), text)
+
+
+def whole_row_token(schema: T.StructType, names: Iterable[str]) -> Column:
+    """A token over the exact values of these columns; equal rows share it."""
+    parts = [_with_length(exact_text(quoted(n), schema[n].dataType)) for n in names]
+    return F.md5(F.concat(F.lit(""), *parts).cast("binary"))
 
 
 def quoted(name: str) -> Column:

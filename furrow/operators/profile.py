@@ -131,21 +131,6 @@ def missing_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, n) with the number of rows of every distinct value, null included.
-
-    All columns of one type are stacked and counted by one grouped aggregation: a map-side
-    combine absorbs dominant values, and no row is copied whole as it would be by several
-    distinct counts in one query. Values leave as text; long text as its digest.
-    """
-    parts = []
-    for family, names in _families(df, columns).items():
-        stacked = _stack(df, names, family)
-        counted = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        parts.append(counted.withColumn("value", F.col("value").cast("string")))
-    return _union(parts)
-
-
 def unique_stats(df: DataFrame, exact: bool = True,
                  columns: Sequence[str] | None = None) -> DataFrame:
     """Distinct values per column; null counts as one of them.

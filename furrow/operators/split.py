@@ -14,7 +14,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from furrow import model as M
 from furrow.functions.text import keyed_token, quoted, rejected_number, whole_row_token
@@ -241,7 +240,7 @@ def _split_ties(hashed: DataFrame, cut: DataFrame, n: int, ranked_rows: int,
     Such rows are cut again by a token over all of their columns. What still ties is copies of
     one row: those are counted, divided by number, and written out again over many tasks.
     """
-    full = hashed.withColumn("_full", whole_row_token(names))
+    full = hashed.withColumn("_full", whole_row_token(hashed.schema, names))
     columns = {"_last": F.col("prefix"), "need": F.col("need"), "size": F.col("size")}
     joined = _look_up(full, cut, columns, single)
     tied = (F.col(TOKEN) == F.col("_last")) & (F.col("need") < F.col("size"))
@@ -255,15 +254,20 @@ def _split_ties(hashed: DataFrame, cut: DataFrame, n: int, ranked_rows: int,
     marked = _look_up(ties, second, {**columns, "_copied": copied}, single)
     is_copy = F.coalesce(F.col(TOKEN) == F.col("_copied"), F.lit(False))
     settled = _decide(marked.where(~is_copy), TOKEN, names)
-    single = (
-        marked.where(is_copy)
-        .groupBy(*[quoted(c) for c in names])
-        .agg(F.max("need").alias("need"), F.max("size").alias("size"))
-    )
-    both = single.select(*[quoted(c) for c in names], F.inline(F.array(
-        F.struct(F.lit(TEST).alias(SPLIT), F.col("need").alias("_times")),
-        F.struct(F.lit(TRAIN).alias(SPLIT), (F.col("size") - F.col("need")).alias("_times")),
-    )))
+    # Counted per full row: should two rows ever share a token, the wanted test rows go to one
+    # after the other, and every row is written out as often as it came in.
+    counted = marked.where(is_copy).groupBy(
+        CLASS, TOKEN, *[quoted(c) for c in names]).agg(
+        F.max("need").alias("need"), F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(CLASS, TOKEN).orderBy(
+        *[quoted(c) for c in names]).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.greatest(F.lit(0), F.least(
+        F.col("_rows"), F.col("need") - F.coalesce(F.sum("_rows").over(earlier), F.lit(0))))
+    both = counted.withColumn("_test", wanted).select(
+        *[quoted(c) for c in names], F.inline(F.array(
+            F.struct(F.lit(TEST).alias(SPLIT), F.col("_test").alias("_times")),
+            F.struct(F.lit(TRAIN).alias(SPLIT), (F.col("_rows") - F.col("_test")).alias("_times")),
+        )))
     return clear.unionByName(settled).unionByName(_repeat(both))
 
 
@@ -305,7 +309,3 @@ def split_counts(rows: DataFrame, missing: DataFrame, stratified: bool) -> DataF
         count("target_missing").alias("target_missing_rows"),
         F.lit(stratified).alias("stratified"),
     )
-
-
-def target_type(df: DataFrame, target: str) -> T.DataType:
-    return df.schema[target].dataType

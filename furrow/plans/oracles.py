@@ -321,6 +321,12 @@ SELECT 'class_too_small' AS problem, min(n) AS found, CAST(2 AS BIGINT) AS requi
   FROM classes HAVING min(n) < 2
 UNION ALL SELECT 'target_not_numeric', count(*), CAST(0 AS BIGINT) FROM orders_dirty
   WHERE num_text IS NOT NULL AND TRY_CAST(num_text AS DOUBLE) IS NULL HAVING count(*) > 0"""
+ORACLES["split_ties"] = """
+WITH placed AS (
+  SELECT o_custkey, o_orderdate + to_microseconds(o_orderkey % 3) AS placed_at FROM orders)
+SELECT o_custkey, placed_at, 2 * count(*) AS n,
+  (SELECT CAST(ceil(2 * count(*) / 5.0) AS BIGINT) FROM orders) AS test_rows
+FROM placed GROUP BY ALL"""
 ORACLES["split_random"] = f"""
 WITH {split('events', 'CAST(event_id AS VARCHAR)', chr(39) + 'all' + chr(39))}
 SELECT event_id, split FROM parts"""

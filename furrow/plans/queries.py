@@ -401,6 +401,17 @@ def split_preconditions(spark, sf_dir):
     return by_class.unionByName(by_number)
 
 
+@query("split_ties")
+def split_ties(spark, sf_dir):
+    """Rows that tie on their key and differ in microseconds, each of them twice."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey", "timestampadd(MICROSECOND, o_orderkey % 3, o_orderdate) AS placed_at")
+    split = S.split_rows(orders.unionAll(orders), 0.2, 7, ["o_custkey"])
+    parts = split.rows.groupBy("o_custkey", "placed_at").agg(F.count("*").alias("n"))
+    test = split.rows.where("split = 'test'").count()
+    return parts.withColumn("test_rows", F.lit(test).cast("bigint"))
+
+
 @query("split_random")
 def split_random(spark, sf_dir):
     return S.split_rows(table(spark, sf_dir, "events"), 0.2, 42, ["event_id"]).rows.select(

@@ -114,3 +114,18 @@ def test_strict_numbers(spark):
 def test_knobs_are_bounded(bad):
     with pytest.raises(M.PreparationError):
         M.PipelineConfig(**bad)
+
+
+@pytest.mark.parametrize("stratify", [None, "c"])
+def test_ties_in_every_type_keep_every_row(spark, stratify):
+    """Rows with one key token that differ below the millisecond, or only in nested values."""
+    df = spark.range(60).selectExpr(
+        "1 AS hot", "id % 2 AS c", "timestamp_micros(id % 5) AS at",
+        "timestampadd(MICROSECOND, id % 5, timestamp_ntz'2020-01-01') AS local",
+        "CASE WHEN id % 3 = 0 THEN 0.0D WHEN id % 3 = 1 THEN -0.0D ELSE 1e-9D END AS x",
+        "CASE WHEN id % 4 = 0 THEN 'a|b' WHEN id % 4 = 1 THEN NULL ELSE 'a' END AS t",
+        "array(timestamp_micros(id % 7), NULL) AS many")
+    split = S.split_rows(df.repartition(3), 0.2, 5, ["hot"], stratify, ranked_rows=4)
+    assert split.rows.count() == 60
+    assert split.rows.where("split = 'test'").count() == split.n_test == 12
+    assert split.rows.drop("split").exceptAll(df).count() == 0
