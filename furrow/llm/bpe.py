@@ -11,6 +11,7 @@ encoding of the joined text: each pair of neighbours stands in one of the three.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +28,8 @@ from furrow.session import ship_package
 LEAF = 65_536
 # Characters on either side of a join that the first window takes; longer than any added token.
 WINDOW = 128
-# Words that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST_WORD = 200_000, 40
+# Words that a worker remembers.
+REMEMBERED = 500_000
 _WORD = re.compile(r"[^ \t\n\r]+")
 
 
@@ -61,6 +62,8 @@ class Coder:
     _of: dict[str, Coder] = {}
 
     def __init__(self, path: str):
+        # Spark has a task for every core; threads of the library would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -88,7 +91,8 @@ class Coder:
         new = list({word for text in texts for word in text}.difference(self.words))
         for start in range(0, len(new), 20_000):
             some = new[start:start + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(
+                some, add_special_tokens=False)]
             decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
             self.words.update(zip(some, zip(
                 map(len, ids), (" ".join(map(str, i)) for i in ids), decoded,
