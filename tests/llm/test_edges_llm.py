@@ -5,13 +5,24 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from llm_rows import EDGE_ROWS, LONG
+from llm_rows import EDGE_ROWS, LONG, SCHEMA
 from furrow.llm import archive, bpe, exact, jaccard, licenses, lines, mixing, ordinal, rules
 from furrow.llm import transducer
 from furrow.llm.license_texts import TEXTS
 from furrow.llm.queries import vocabulary
 
 
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names."""
+    return spark.createDataFrame(EDGE_ROWS, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
 def test_exact(edge, nothing):
     rows = exact.exact_copies(edge, keep="largest").collect()
     assert len(rows) == len(EDGE_ROWS)
