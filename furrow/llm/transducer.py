@@ -27,11 +27,11 @@ from furrow.llm.bpe import sha256
 from furrow.llm.common import doc_columns
 from furrow.session import ship_package
 
-CHUNK = 16_384
+CHUNK = 65_536
 TOKEN_LIMIT = 4_096
 SPACE = "▁"
 # Compiled states and remembered segments of a worker; beyond that it compiles anew.
-MOST_STATES, MOST_SEGMENTS, LONGEST_SEGMENT = 100_000, 300_000, 32
+MOST_STATES, MOST_SEGMENTS, LONGEST_SEGMENT = 200_000, 600_000, 32
 # A run of space marks and what follows up to the next one.
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -48,6 +48,7 @@ class Transducer:
         self.beginnings = {piece[:k] for piece in scores for k in range(1, len(piece))}
         self._apart: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
+        self.segments: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -55,7 +56,6 @@ class Transducer:
         self.states: dict[tuple, int] = {start: 0}
         self.content: list[tuple] = [start]
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
-        self.segments: dict[str, int] = {}
 
     @classmethod
     def at(cls, path: str) -> Transducer:
@@ -144,7 +144,6 @@ class Transducer:
             found = known.get(segment)
             if found is None:
                 found = self._run(segment)
-                known = self.segments
                 if len(segment) <= LONGEST_SEGMENT:
                     if len(known) >= MOST_SEGMENTS:
                         known.clear()
