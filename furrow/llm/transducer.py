@@ -16,7 +16,7 @@ t2). Long texts are cut into chunks whose maps are computed by any task and comp
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -30,12 +30,30 @@ from furrow.session import ship_package
 CHUNK = 65_536
 TOKEN_LIMIT = 4_096
 SPACE = "▁"
+NEVER = float("-inf")
 # Compiled states and remembered segments of a worker; beyond that it compiles anew.
-MOST_STATES, MOST_SEGMENTS, LONGEST_SEGMENT = 200_000, 600_000, 32
+MOST_STATES, MOST_SEGMENTS, LONGEST_SEGMENT = 200_000, 1_000_000, 32
+
 # A run of space marks and what follows up to the next one.
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+class _Counts(dict):
+    """Segments with their counts, computed when first asked for."""
+
+    def __init__(self, run: Callable[[str], int]):
+        super().__init__()
+        self.run = run
+
+    def __missing__(self, segment: str) -> int:
+        found = self.run(segment)
+        if len(segment) <= LONGEST_SEGMENT:
+            if len(self) >= MOST_SEGMENTS:
+                self.clear()
+            self[segment] = found
+        return found
+
+
 class Transducer:
     """Counts tokens of text in which spaces are marks already."""
 
@@ -48,7 +66,9 @@ class Transducer:
         self.beginnings = {piece[:k] for piece in scores for k in range(1, len(piece))}
         self._apart: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
-        self.segments: dict[str, int] = {}
+        # A line break that no piece has is a token of its own and sets the machine back, too.
+        self.lines = not any("\n" in piece for piece in scores)
+        self.segments = _Counts(self._run)
         self.clear()
 
     def clear(self) -> None:
@@ -71,18 +91,22 @@ class Transducer:
 
     # ---- compilation ------------------------------------------------------------------------
 
+    def _pair_scores(self, parts: list[str]) -> list[float]:
+        return [self.scores.get(one + next_, NEVER) for one, next_ in zip(parts, parts[1:])]
+
+    def _join(self, parts: list[str], scores: list[float], place: int) -> None:
+        """Merge the parts at `place` and behind it, and keep the scores of pairs in step."""
+        parts[place:place + 2] = [parts[place] + parts[place + 1]]
+        del scores[place]
+        for k in range(max(place - 1, 0), min(place + 1, len(scores))):
+            scores[k] = self.scores.get(parts[k] + parts[k + 1], NEVER)
+
     def _merged(self, text: str) -> list[str]:
         """The pieces of a short string: best pair first, leftmost among equals."""
         parts = list(text)
-        while len(parts) > 1:
-            best, place = None, 0
-            for k in range(len(parts) - 1):
-                score = self.scores.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, place = score, k
-            if best is None:
-                break
-            parts[place:place + 2] = [parts[place] + parts[place + 1]]
+        scores = self._pair_scores(parts)
+        while scores and (best := max(scores)) > NEVER:
+            self._join(parts, scores, scores.index(best))
         return parts
 
     def _is_token(self, piece: str) -> bool:
@@ -97,9 +121,21 @@ class Transducer:
         if found is None:
             if len(self._apart) > 1_000_000:
                 self._apart.clear()
-            found = self._apart[left, right] = self._merged(left + right) == [left, right]
+            found = self._apart[left, right] = self._none_crosses(left, right)
         return found
 
+    def _none_crosses(self, left: str, right: str) -> bool:
+        """Whether no merge, best pair first, joins the two tokens or parts of them."""
+        parts, border = list(left + right), len(left)
+        scores = self._pair_scores(parts)
+        while scores and (best := max(scores)) > NEVER:
+            place = scores.index(best)
+            if place == border - 1:
+                return False
+            border -= place < border
+            self._join(parts, scores, place)
+        return len(parts) == 2
+
     def _weight(self, token: str) -> int:
         """Tokens that a piece counts for: a character without a piece falls back to bytes."""
         return 1 if token in self.scores else len(token.encode("utf-8", "surrogatepass"))
@@ -139,17 +175,11 @@ class Transducer:
 
     def count(self, text: str) -> int:
         """Tokens of whole segments: each begins in the start state."""
-        total, known = 0, self.segments
-        for segment in _SEGMENT.findall(text):
-            found = known.get(segment)
-            if found is None:
-                found = self._run(segment)
-                if len(segment) <= LONGEST_SEGMENT:
-                    if len(known) >= MOST_SEGMENTS:
-                        known.clear()
-                    known[segment] = found
-            total += found
-        return total
+        if self.lines and "\n" in text:
+            parts = text.split("\n")
+            return sum(map(self.count, filter(None, parts))) + (
+                len(parts) - 1) * self._weight("\n")
+        return sum(map(self.segments.__getitem__, _SEGMENT.findall(text)))
 
     # ---- chunk maps -------------------------------------------------------------------------
 
