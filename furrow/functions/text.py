@@ -41,6 +41,13 @@ def rejected_number(value: Column, dtype: T.DataType) -> Column:
     return value.isNotNull() & strict_double(value, dtype).isNull()
 
 
+def finite_double(value: Column, dtype: T.DataType) -> Column:
+    """The value as a double; null for text that is no number, NaN and infinite values."""
+    number = strict_double(value, dtype)
+    # A difference with itself is zero for finite numbers only.
+    return F.when(number - number == 0, number)
+
+
 def column_id(name: Column) -> Column:
     """Lower-case hex of the UTF-8 bytes of a column name."""
     return F.lower(F.hex(F.encode(name, "UTF-8")))

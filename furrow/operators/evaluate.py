@@ -21,7 +21,6 @@ from furrow.operators import metrics
 from furrow.operators.fit import (
     FittedState,
     category_counts,
-    category_facts,
     numeric_facts,
     vocabulary,
 )
@@ -32,9 +31,7 @@ LOGISTIC_ITERATIONS = 1_000
 RIDGE_ALPHA = 1.0
 BASELINE, COMPLETE = "baseline", "complete"
 # -------------------------------------------------------------------------------------------
-MAX_FEATURES = 1_000_000
-# Widest problem that the normal-equation solver accepts.
-NORMAL_SOLVER_FEATURES = 4_096
+NORMAL, ITERATIVE = "normal", "l-bfgs"
 
 
 def same_split_check(raw: DataFrame, processed: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -53,7 +50,7 @@ def same_split_check(raw: DataFrame, processed: DataFrame, columns: Sequence[str
 # ---- features -------------------------------------------------------------------------------
 
 def baseline_features(train: DataFrame, test: DataFrame, roles: Mapping[str, str],
-                      features: Sequence[str], target: str, rows: int | None = None,
+                      features: Sequence[str], target: str,
                       known: FittedState | None = None) -> tuple[DataFrame, DataFrame]:
     """(`features`, target) of the minimal scheme for both parts.
 
@@ -64,7 +61,7 @@ def baseline_features(train: DataFrame, test: DataFrame, roles: Mapping[str, str
     numeric = [c for c in features if roles[c] in M.NUMERIC_ROLES]
     categorical = [c for c in features if c not in numeric]
     fills: dict[str, object] = {
-        **_medians(train, numeric, rows, known), **_modes(train, categorical, known)}
+        **_medians(train, numeric, known), **_modes(train, categorical, known)}
     types = {f.name: f.dataType for f in train.schema}
     cells: list[Column] = []
     for i, c in enumerate(features):
@@ -89,7 +86,7 @@ def baseline_features(train: DataFrame, test: DataFrame, roles: Mapping[str, str
     return ready[0], ready[1]
 
 
-def _medians(train: DataFrame, columns: Sequence[str], rows: int | None,
+def _medians(train: DataFrame, columns: Sequence[str],
              known: FittedState | None) -> dict[str, float]:
     fills = {}
     for c in known.columns if known else []:
@@ -97,14 +94,14 @@ def _medians(train: DataFrame, columns: Sequence[str], rows: int | None,
             fills[c.column] = 0.0
         elif c.column in columns and c.imputation == "median":
             fills[c.column] = c.fill_num
-    facts = numeric_facts(train, [c for c in columns if c not in fills], rows=rows)
+    facts = numeric_facts(train, [c for c in columns if c not in fills])
     fills.update({c: f["median"] if f["present"] else 0.0 for c, f in facts.items()})
     return fills
 
 
 def _modes(train: DataFrame, columns: Sequence[str],
            known: FittedState | None) -> dict[str, str]:
-    """Most frequent training value per column; refuses what no linear model could hold."""
+    """Most frequent training value per column."""
     fills = {
         c.column: c.fill_str for c in (known.columns if known else [])
         if c.column in columns and c.imputation == "most_frequent" and not c.truncated
@@ -112,10 +109,6 @@ def _modes(train: DataFrame, columns: Sequence[str],
     left = [c for c in columns if c not in fills]
     if left:
         counts = category_counts(train, left)
-        width = category_facts(counts).agg(F.coalesce(F.sum("distinct"), F.lit(0))).head()[0]
-        if width > MAX_FEATURES:
-            raise M.PreparationError(f"{width} categories are too many for a linear model; "
-                                     "mark the column as text or id")
         found = {r["column"]: r["value"] for r in vocabulary(counts, 1).collect()}
         fills.update({c: found.get(c, M.MISSING_LABEL) for c in left})
     return fills
@@ -154,21 +147,21 @@ def fit_logistic(train: DataFrame, test: DataFrame, rows: int) -> DataFrame:
                                               predicted.alias("prediction"))
 
 
-def fit_ridge(train: DataFrame, test: DataFrame, rows: int) -> DataFrame:
+def fit_ridge(train: DataFrame, test: DataFrame, rows: int, solver: str = NORMAL) -> DataFrame:
     """(label, prediction) over the test part of a ridge regression with penalty 1.
 
-    Spark scales the penalty by the deviation of the label: the population one in its
+    The caller names the solver: the exact one, which takes up to 4,096 features and says so
+    beyond them, or the iterative one, which meets it within a tolerance at any width. Spark scales the penalty by the deviation of the label: the population one in its
     normal-equation solver, the sample one in the iterative solver.
     """
     numeric = [df.withColumn("_label", strict_double(F.col("_target"),
                                                      df.schema["_target"].dataType))
                for df in (train, test)]
-    narrow = _width(train) <= NORMAL_SOLVER_FEATURES
-    deviation = F.stddev_pop("_label") if narrow else F.stddev_samp("_label")
+    deviation = F.stddev_pop("_label") if solver == NORMAL else F.stddev_samp("_label")
     sigma = numeric[0].agg(deviation).head()[0] or 0.0
     model = LinearRegression(
         featuresCol="features", labelCol="_label", elasticNetParam=0.0, standardization=False,
-        regParam=RIDGE_ALPHA * sigma / rows, solver="normal" if narrow else "l-bfgs",
+        regParam=RIDGE_ALPHA * sigma / rows, solver=solver,
         fitIntercept=True,
     ).fit(numeric[0])
     return model.transform(numeric[1]).select(F.col("_label").alias("label"), "prediction")
@@ -186,12 +179,13 @@ def ridge_line(train: DataFrame, test: DataFrame, feature: str, target: str) ->
     return test.select(F.col(target).alias("label"), predicted.alias("prediction"))
 
 
-def score_scheme(train: DataFrame, test: DataFrame, task: str, rows: int) -> DataFrame:
+def score_scheme(train: DataFrame, test: DataFrame, task: str, rows: int,
+                 solver: str = NORMAL) -> DataFrame:
     """(metric, value) of one scheme's features under the model of the task."""
     if task == M.CLASSIFICATION:
         return metrics.classification_metrics(fit_logistic(train, test, rows))
     if task == M.REGRESSION:
-        return metrics.regression_metrics(fit_ridge(train, test, rows))
+        return metrics.regression_metrics(fit_ridge(train, test, rows, solver))
     raise M.PreparationError("quick evaluation covers classification and regression")
 
 
@@ -203,8 +197,3 @@ def scheme_comparison(scores: DataFrame) -> DataFrame:
     return scores.groupBy("metric").agg(
         of(BASELINE).alias("baseline"), of(COMPLETE).alias("complete")
     ).withColumn("delta", F.col("complete") - F.col("baseline"))
-
-
-def _width(df: DataFrame) -> int:
-    """Number of features, as the assembler noted it in the schema."""
-    return df.schema["features"].metadata["ml_attr"]["num_attrs"]

@@ -3,7 +3,7 @@
 What is learned is small: one record per input column with at most `max_categories` values.
 Numeric columns take one pass without a shuffle: the moments after filling follow from the
 moments of the present values, the fill, and the counts. Categorical columns take one grouped
-count of their values. Exact medians of large tables are found by counting into buckets.
+count of their values. Exact medians are found by counting into buckets.
 """
 
 from __future__ import annotations
@@ -18,13 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow import model as M
-from furrow.functions.text import normalize_category, quoted, rejected_number, strict_double
+from furrow.functions.text import finite_double, normalize_category, quoted
 from furrow.session import small_table
 
 # Columns per aggregate query; more would make one oversized generated method.
 COLUMNS_PER_PASS = 24
-# Rows up to which the built-in exact median, which keeps every distinct value, is used.
-IN_MEMORY_MEDIAN_ROWS = 2_000_000
 # Values per column that the last step of the bucket search may bring to one task.
 FINAL_VALUES = 100_000
 BUCKETS = 4_096
@@ -130,16 +128,12 @@ def feature_plan(profile: DataFrame, recs: DataFrame) -> DataFrame:
 # ---- fitting ------------------------------------------------------------------------------------
 
 def fit(train: DataFrame, roles: Mapping[str, str], features: Sequence[str],
-        indicators: Sequence[str], config: M.PipelineConfig,
-        rows: int | None = None) -> FittedState:
-    """Learn the state of all feature columns from `train` and nothing else.
-
-    `rows`, the number of training rows, is counted where the caller does not know it.
-    """
+        indicators: Sequence[str], config: M.PipelineConfig) -> FittedState:
+    """Learn the state of all feature columns from `train` and nothing else."""
     numeric = [c for c in features if roles[c] in M.NUMERIC_ROLES]
     categorical = [c for c in features if c not in numeric]
     learned = {
-        **fit_numeric(train, numeric, config, rows),
+        **fit_numeric(train, numeric, config),
         **fit_categorical(train, categorical, config),
     }
     states = []
@@ -153,46 +147,48 @@ def fit(train: DataFrame, roles: Mapping[str, str], features: Sequence[str],
 
 
 def fit_numeric(train: DataFrame, columns: Sequence[str],
-                config: M.PipelineConfig, rows: int | None = None) -> dict[str, ColumnState]:
-    facts = numeric_facts(train, columns, config.numeric_imputation == "median", rows)
+                config: M.PipelineConfig) -> dict[str, ColumnState]:
+    facts = numeric_facts(train, columns, config.numeric_imputation == "median")
     bad = {c: f["rejected"] for c, f in facts.items() if f["rejected"]}
     if bad:
         listed = ", ".join(f"{c} ({n})" for c, n in bad.items())
-        raise M.PreparationError(f"values that are no numbers in: {listed}")
+        raise M.PreparationError(f"values that are no finite numbers in: {listed}")
     return {c: _numeric_state(c, f, config) for c, f in facts.items()}
 
 
 def numeric_facts(train: DataFrame, columns: Sequence[str], median: bool = True,
-                  rows: int | None = None,
-                  in_memory: int = IN_MEMORY_MEDIAN_ROWS) -> dict[str, dict[str, float]]:
-    """Counts, moments, range and exact median of the present values of each column."""
+                  final_values: int | None = None) -> dict[str, dict[str, float]]:
+    """Counts, moments, range and exact median of the present values of each column.
+
+    NaN and infinite values count as rejected, like text that is no number; they enter neither
+    moments nor median.
+    """
     types = {f.name: f.dataType for f in train.schema}
-    if median and columns and rows is None:
-        rows = train.count()
-    small = median and (rows or 0) <= in_memory
     facts: dict[str, dict[str, float]] = {}
     for start in range(0, len(columns), COLUMNS_PER_PASS):
         chunk = columns[start:start + COLUMNS_PER_PASS]
-        values = [strict_double(quoted(c), types[c]).alias(f"_x{i}") for i, c in enumerate(chunk)]
-        bad = {i: rejected_number(quoted(c), types[c]).cast("bigint").alias(f"_bad{i}")
-               for i, c in enumerate(chunk) if not isinstance(types[c], T.NumericType)}
+        values = [finite_double(quoted(c), types[c]).alias(f"_x{i}") for i, c in enumerate(chunk)]
+        bad = {i: (quoted(c).isNotNull() & finite_double(quoted(c), types[c]).isNull())
+               .cast("bigint").alias(f"_bad{i}")
+               for i, c in enumerate(chunk)
+               if not isinstance(types[c], (T.IntegralType, T.DecimalType))}
         row = train.select(*values, *bad.values()).agg(*[
-            F.expr(_measures(i, i in bad, small)).alias(f"_{i}") for i in range(len(chunk))
+            F.expr(_measures(i, i in bad)).alias(f"_{i}") for i in range(len(chunk))
         ]).head()
         facts.update({c: row[f"_{i}"].asDict() for i, c in enumerate(chunk)})
-    if median and not small:
-        for c, value in exact_medians(train, columns, facts).items():
+    if median:
+        for c, value in exact_medians(train, columns, facts,
+                                      final_values or FINAL_VALUES).items():
             facts[c]["median"] = value
     return facts
 
 
-def _measures(i: int, checked: bool, median: bool) -> str:
+def _measures(i: int, checked: bool) -> str:
     """One SQL expression per column; building it from parts costs more than running it."""
     rejected = f"coalesce(sum(_bad{i}), 0)" if checked else "0L"
-    exact = f", median(_x{i}) AS median" if median else ""
     return (f"struct(count(1) AS rows, count(_x{i}) AS present, {rejected} AS rejected, "
             f"avg(_x{i}) AS mean, var_pop(_x{i}) AS variance, min(_x{i}) AS low, "
-            f"max(_x{i}) AS high{exact})")
+            f"max(_x{i}) AS high)")
 
 
 def _numeric_state(name: str, f: Mapping[str, float], config: M.PipelineConfig) -> ColumnState:
@@ -259,6 +255,11 @@ def exact_medians(df: DataFrame, columns: Sequence[str],
     return result
 
 
+def _midpoint(low: float, high: float) -> float:
+    total = low + high
+    return total / 2 if math.isfinite(total) else low / 2 + high / 2
+
+
 @dataclass
 class _Range:
     """Where the middle ranks `first` and `second` (counted from `low`) of a column lie."""
@@ -284,7 +285,7 @@ class _Range:
         for i, b in enumerate(buckets):
             if self.first < seen + b["n"]:
                 if self.second >= seen + b["n"]:
-                    return (b["high"] + buckets[i + 1]["low"]) / 2
+                    return _midpoint(b["high"], buckets[i + 1]["low"])
                 self.first, self.second = self.first - seen, self.second - seen
                 self.low, self.high, self.count = b["low"], b["high"], b["n"]
                 self.by_exponent = False
@@ -297,7 +298,7 @@ def _inside(df: DataFrame, ranges: Mapping[str, _Range]) -> list[tuple[str, Colu
     types = {f.name: f.dataType for f in df.schema}
     cells = []
     for c, r in ranges.items():
-        x = strict_double(quoted(c), types[c])
+        x = finite_double(quoted(c), types[c])
         cells.append((c, F.when(x.between(r.low, r.high), x)))
     return cells
 
@@ -338,8 +339,8 @@ def _read_out(df: DataFrame, ranges: Mapping[str, _Range]) -> dict[str, float]:
     for i, c in enumerate(names):
         wanted = wanted | ((F.col("at") == i) & F.col("rank").isin(ranges[c].first,
                                                                   ranges[c].second))
-    middle = ranked.where(wanted).groupBy("at").agg(((F.min("x") + F.max("x")) / 2).alias("m"))
-    return {names[r["at"]]: r["m"] for r in middle.collect()}
+    middle = ranked.where(wanted).groupBy("at").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    return {names[r["at"]]: _midpoint(r["a"], r["b"]) for r in middle.collect()}
 
 
 # ---- categories -----------------------------------------------------------------------------------

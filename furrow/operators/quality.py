@@ -125,17 +125,17 @@ def quality_deductions(profile: DataFrame, task: str) -> DataFrame:
     """Every deduction: dimension, rule, column (null for the project), points, reason, evidence."""
     missing, unique = F.col("missing_count"), F.col("unique_count")
     wording = {
-        RULE_MISSING: (COMPLETENESS, "the column has missing values", F.format_string(
+        RULE_MISSING: (COMPLETENESS, "missing_count > 0", F.format_string(
             "%d rows missing, %.1f%%", missing, F.col("missing_rate") * 100)),
-        RULE_TYPE: (VALIDITY, "no stable type could be inferred", F.format_string(
+        RULE_TYPE: (VALIDITY, "inferred_type in " + ", ".join(UNSTABLE_NAMES), F.format_string(
             "inferred type %s", F.col("inferred_type"))),
-        RULE_MIXED: (CONSISTENCY, "missing cells beside several present values", F.format_string(
+        RULE_MIXED: (CONSISTENCY, "missing_count > 0 and unique_count > 1", F.format_string(
             "%d distinct values, %d missing", unique, missing)),
-        RULE_CONSTANT: (UNIQUENESS, "the column is constant or empty", F.format_string(
+        RULE_CONSTANT: (UNIQUENESS, "unique_count <= 1", F.format_string(
             "%d distinct values", unique)),
-        RULE_ROLE: (STRUCTURE, "not a feature by default", F.format_string(
+        RULE_ROLE: (STRUCTURE, f"role in {M.ID}, {M.TEXT}", F.format_string(
             "role %s", F.col("role"))),
-        RULE_CARDINALITY: (STRUCTURE, "many categories", F.format_string(
+        RULE_CARDINALITY: (STRUCTURE, f"unique_count > {MANY_CATEGORIES}", F.format_string(
             "%d distinct values", unique)),
     }
     applies = _applies()
@@ -149,11 +149,11 @@ def quality_deductions(profile: DataFrame, task: str) -> DataFrame:
     whole = F.array(
         F.when(no_target, _deduction(
             READINESS, RULE_TARGET, nothing, F.lit(POINTS[RULE_TARGET]),
-            "a supervised task needs exactly one target",
+            "count(role = target) <> 1",
             F.format_string("%d target columns", F.col("targets")))),
         F.when(no_feature, _deduction(
             READINESS, RULE_NO_FEATURE, nothing, F.lit(POINTS[RULE_NO_FEATURE]),
-            "no column is left as a feature", F.lit("all are id, text or ignored"))),
+            "count(feature) = 0", F.lit("all are id, text or ignored"))),
     )
     by_project = _facts(profile).select(F.inline(F.filter(whole, lambda d: d.isNotNull())))
     return by_column.unionByName(by_project)

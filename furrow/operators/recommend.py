@@ -36,26 +36,14 @@ PARAMETERS = {
 }
 # -------------------------------------------------------------------------------------------
 
-# What a reader is told per rule: title, problem, expected effect, side effect, alternatives.
-WORDING = {
-    TARGET_RULE: ("Choose one target column", "The task predicts a column, but none is set.",
-                  "the table can be split", "a wrong target makes every score meaningless",
-                  ("run a cleaning task instead",)),
-    HIGH_MISSING: ("Review a mostly empty column", "Filling most of a column invents its content.",
-                   "fewer misleading features", "a hard-to-collect signal may be lost",
-                   ("keep it with a missing indicator", "fill it from the training rows")),
-    INDICATOR: ("Mark missing cells", "Being missing can itself be informative.",
-                "the pattern of missing cells is kept", "one more feature",
-                ("fill only", "remove the column")),
-    CONSTANT: ("Remove a constant column", "The column does not tell rows apart.",
-               "smaller output", "rare values outside the profile are lost",
-               ("profile the whole table first",)),
-    IDENTIFIER: ("Leave out an identifier", "Identifiers do not generalize to new rows.",
-                 "no leak through row identity", "a coded grouping may be lost",
-                 ("use it as a group", "extract its prefix")),
-    CARDINALITY: ("Limit the number of categories", "One column per category gets very wide.",
-                  "bounded output width", "rare categories are merged",
-                  ("treat the column as text",)),
+# The condition of each rule, as a reader sees it.
+CONDITIONS = {
+    TARGET_RULE: "count(role = target) <> 1",
+    HIGH_MISSING: f"missing_rate >= {HIGH_MISSING_RATE}",
+    INDICATOR: f"missing_rate >= {INDICATOR_RATE}",
+    CONSTANT: "unique_count <= 1",
+    IDENTIFIER: f"role = {M.ID}",
+    CARDINALITY: f"unique_count > {MANY_CATEGORIES}",
 }
 
 
@@ -73,24 +61,19 @@ def _triggers() -> dict[str, Column]:
 
 def _item(rule: str, column: Column, evidence: Column, suffix: Column) -> Column:
     action, severity, risk, confidence, default_on = RULES[rule]
-    title, problem, effect, side_effect, alternatives = WORDING[rule]
     pairs = [F.lit(x) for kv in PARAMETERS.get(rule, {}).items() for x in kv]
     parameters = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     return F.struct(
         F.concat(F.lit(rule + ":"), suffix).alias("id"),
         F.lit(rule).alias("rule_id"),
-        F.lit(title).alias("title"),
         column.cast("string").alias("column"),
-        F.lit(problem).alias("problem"),
+        F.lit(CONDITIONS[rule]).alias("condition"),
         evidence.alias("evidence"),
         F.lit(severity).alias("severity"),
         F.lit(risk).alias("risk"),
         F.lit(confidence).alias("confidence"),
         F.lit(action).alias("action"),
         parameters.alias("parameters"),
-        F.lit(effect).alias("expected_impact"),
-        F.array(F.lit(side_effect)).alias("side_effects"),
-        F.array(*[F.lit(a) for a in alternatives]).alias("alternatives"),
         F.lit(default_on).alias("enabled"),
     )
 

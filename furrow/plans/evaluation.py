@@ -14,7 +14,8 @@ OFF, QUICK = "off", "quick"
 # ----------------------
 
 
-def evaluate_run(run: PreparationRun, mode: str = QUICK) -> DataFrame | None:
+def evaluate_run(run: PreparationRun, mode: str = QUICK,
+                 solver: str = E.NORMAL) -> DataFrame | None:
     """(scheme, metric, value) of both schemes on the run's own split; None when off."""
     if mode == OFF:
         return None
@@ -22,13 +23,18 @@ def evaluate_run(run: PreparationRun, mode: str = QUICK) -> DataFrame | None:
         raise M.PreparationError(f"unknown evaluation mode {mode!r}")
     if run.task == M.CLEANING:
         raise M.PreparationError("a cleaning run has no model evaluation; switch it off")
+    for part in ("train", "test"):
+        # Both schemes have to be scored on the same targets, as often as they occur.
+        off = E.same_split_check(run.frames[f"raw_{part}"], run.frames[part], [run.target])
+        if off.limit(1).count():
+            raise M.PreparationError(f"the {part} parts of the two schemes differ")
     rows = run.split.n - run.split.n_test
     base_train, base_test = E.baseline_features(
-        run.raw_train, run.raw_test, run.roles, run.features, run.target, rows, run.state)
+        run.raw_train, run.raw_test, run.roles, run.features, run.target, run.state)
     full = [E.complete_features(run.frames[p], run.outputs, run.target)
             for p in ("train", "test")]
-    baseline = E.score_scheme(base_train, base_test, run.task, rows)
-    complete = E.score_scheme(full[0], full[1], run.task, rows)
+    baseline = E.score_scheme(base_train, base_test, run.task, rows, solver)
+    complete = E.score_scheme(full[0], full[1], run.task, rows, solver)
     return baseline.select(F.lit(E.BASELINE).alias("scheme"), "metric", "value").unionByName(
         complete.select(F.lit(E.COMPLETE).alias("scheme"), "metric", "value"))
 

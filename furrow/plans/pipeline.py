@@ -87,7 +87,7 @@ def run_supervised(df: DataFrame, roles: Mapping[str, str], task: str,
     raw_train, raw_test = split.part(S.TRAIN), split.part(S.TEST)
     numeric = [c for c in features if roles[c] in M.NUMERIC_ROLES]
     _check_numbers(eligible, numeric)
-    state = fit(raw_train, roles, features, indicators, config, split.n - split.n_test)
+    state = fit(raw_train, roles, features, indicators, config)
     outputs = output_schema(state, target)
     return PreparationRun(
         task, config, dict(roles), features, outputs[:-1], state, target, stratify is not None,
@@ -152,5 +152,6 @@ def _check_numbers(df: DataFrame, columns: Sequence[str]) -> None:
 
 
 def numeric_target(df: DataFrame, target: str) -> DataFrame:
-    """The rows with the target as a double; text targets were checked before."""
+    """The rows with the target as a double; text that is no number is refused with its count."""
+    _check_numbers(df, [target])
     return df.withColumn(target, strict_double(quoted(target), df.schema[target].dataType))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow import model as M
-from furrow.functions.text import normalize_category, quoted
+from furrow.functions.text import normalize_category, quoted, strict_double
 from furrow.operators import catalog, evaluate, fit, manifest, metrics, quality, recommend
 from furrow.operators import profile as P
 from furrow.operators import roles as R
@@ -110,7 +110,7 @@ def fitted_orders(spark: SparkSession, sf_dir: str, columns: Sequence[str],
     """Split orders and a state of `columns` fitted on their training part."""
     split = orders_split(spark, sf_dir)
     config = M.PipelineConfig(**knobs)
-    state = fit.fit(split.part(S.TRAIN), ORDER_ROLES, columns, [], config, split.n - split.n_test)
+    state = fit.fit(split.part(S.TRAIN), ORDER_ROLES, columns, [], config)
     return split.rows, state
 
 
@@ -687,8 +687,10 @@ def scheme_comparison_classification(spark, sf_dir):
 
 @query("numeric_target")
 def numeric_target(spark, sf_dir):
-    rows = pipeline.numeric_target(orders_dirty(spark, sf_dir), "num_text")
-    return tidy(rows.select("o_orderkey", "num_text").where("num_text is not null"))
+    dirty = orders_dirty(spark, sf_dir)
+    number = strict_double(F.col("num_text"), dirty.schema["num_text"].dataType)
+    rows = pipeline.numeric_target(dirty.where(number.isNotNull()), "num_text")
+    return tidy(rows.select("o_orderkey", "num_text"))
 
 
 @query("evaluation_off")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from furrow import model as M
 from furrow.functions.text import quoted
 from furrow.session import materialize
-from furrow.sources.dialects import UTF8, csv_dialects, header_problems
+from furrow.sources.dialects import UTF8, csv_contents, csv_dialects, header_problems
 
 # Written before the first column name, it makes every part file begin with the bytes EF BB BF.
 BOM = "\ufeff"
@@ -22,14 +22,17 @@ NEVER = "'#'"
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None,
              encoding: str | None = None, schema: T.StructType | str | None = None,
-             multiline: bool = False) -> DataFrame:
+             multiline: bool | None = None) -> DataFrame:
     """A headered CSV file or folder, strictly: a row that does not fit stops the read.
 
     Without a dialect or schema these are found first: the dialect from the first bytes of the
     files, which must agree, and the types by a pass over the data. Give a schema for big data.
-    `multiline` allows line breaks inside quotes; a file can then not be divided among tasks.
+    Headers are always checked, and all bytes must decode. `multiline` allows line breaks inside
+    quotes; a file can then not be divided among tasks. Where it is not said, it is set when such
+    breaks are found.
     """
     delimiter, encoding = _dialect(spark, path, delimiter, encoding)
+    multiline = _checked_contents(spark, path, encoding, multiline)
     reader = _reader(spark, delimiter, encoding, multiline).option("mode", "FAILFAST")
     if schema is None:
         schema = _widened(reader.option("inferSchema", "true").csv(path).schema)
@@ -92,9 +95,7 @@ def _reader(spark: SparkSession, delimiter: str, encoding: str, multiline: bool)
 
 def _dialect(spark: SparkSession, path: str, delimiter: str | None,
              encoding: str | None) -> tuple[str, str]:
-    if delimiter and encoding:
-        return delimiter, encoding
-    found = csv_dialects(spark, path).persist()
+    found = csv_dialects(spark, path, delimiter=delimiter, encoding=encoding).persist()
     try:
         problems = header_problems(found).limit(5).collect()
         if problems:
@@ -106,3 +107,16 @@ def _dialect(spark: SparkSession, path: str, delimiter: str | None,
     if len(kinds) != 1:
         raise M.PreparationError("the files are of no or of several dialects; read them apart")
     return delimiter or kinds[0]["delimiter"], encoding or kinds[0]["encoding"]
+
+
+def _checked_contents(spark: SparkSession, path: str, encoding: str,
+                      multiline: bool | None) -> bool:
+    """Refuses files with bytes outside the encoding; says whether quotes hold line breaks."""
+    seen = csv_contents(spark, path, encoding).agg(
+        F.count_if(~F.col("decodes")).alias("bad"),
+        F.min(F.when(~F.col("decodes"), F.col("path"))).alias("first"),
+        F.coalesce(F.bool_or("quoted_breaks"), F.lit(False)).alias("breaks")).head()
+    if seen["bad"]:
+        raise M.PreparationError(
+            f"{seen['bad']} CSV files have bytes that are not {encoding}, as {seen['first']}")
+    return seen["breaks"] if multiline is None else multiline

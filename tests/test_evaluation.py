@@ -9,6 +9,7 @@ from furrow.operators import evaluate as E
 from furrow.operators import metrics
 from furrow.plans import evaluation
 from furrow.plans import pipeline as P
+from furrow.plans.pipeline import numeric_target
 
 ROLES = {"row_id": "id", "amount": "continuous_numeric", "segment": "nominal_category",
          "target": "target"}
@@ -98,15 +99,14 @@ def test_ridge_equals_closed_form(spark):
     assert np.allclose(got, sorted(want), rtol=1e-9)
 
 
-def test_iterative_ridge_equals_closed_form(spark, monkeypatch):
-    monkeypatch.setattr(E, "NORMAL_SOLVER_FEATURES", 0)
+def test_iterative_ridge_equals_closed_form(spark):
     rng = np.random.default_rng(2)
     x, noise = rng.normal(0, 1, (150, 2)), rng.normal(0, 0.1, 150)
     y = x @ [1.0, 3.0] + noise
     centered = x - x.mean(0)
     w = np.linalg.solve(centered.T @ centered + np.eye(2), centered.T @ (y - y.mean()))
     data = vectors(spark, x, y)
-    got = sorted(r["prediction"] for r in E.fit_ridge(data, data, 150).collect())
+    got = sorted(r["prediction"] for r in E.fit_ridge(data, data, 150, E.ITERATIVE).collect())
     assert np.allclose(got, sorted(y.mean() + centered @ w), atol=1e-4)
 
 
@@ -163,8 +163,8 @@ def test_baseline_ignores_new_categories_and_fills_empty_numbers(spark):
         [0.0, 0.0, 1.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.0]]
 
 
-def test_too_wide_a_baseline_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(E, "MAX_FEATURES", 2)
-    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "c string, y double")
-    with pytest.raises(M.PreparationError, match="too many"):
-        E.baseline_features(df, df, {"c": "nominal_category"}, ["c"], "y")
+def test_a_text_target_that_is_no_number_is_refused(spark):
+    df = spark.createDataFrame([("1.5",), ("n/a",), (None,)], "y string")
+    with pytest.raises(M.PreparationError, match=r"y \(1\)"):
+        numeric_target(df, "y")
+    assert [r["y"] for r in numeric_target(df.where("y = '1.5'"), "y").collect()] == [1.5]

@@ -171,12 +171,23 @@ def test_bucketed_medians_are_exact(spark, final):
             assert found[c] == np.median(values[:size]), (c, size)
 
 
-def test_both_median_paths_agree(spark):
+def test_median_is_the_same_for_any_cut_of_the_search(spark):
     df = spark.range(3000).selectExpr("case when id % 7 > 0 then pow(id, 1.5) end as x",
                                       "cast(id % 11 as string) as t")
-    near = T.numeric_facts(df, ["x", "t"], rows=3000)
-    far = T.numeric_facts(df, ["x", "t"], rows=3000, in_memory=0)
+    near = T.numeric_facts(df, ["x", "t"])
+    far = T.numeric_facts(df, ["x", "t"], final_values=1)
     assert near == far
+    values = [i ** 1.5 for i in range(3000) if i % 7]
+    assert math.isclose(near["x"]["median"], np.median(values), rel_tol=1e-14)
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), float("-inf")])
+@pytest.mark.parametrize("imputation", ["mean", "median"])
+def test_numbers_that_are_not_finite_are_refused(spark, odd, imputation):
+    df = spark.createDataFrame([(float(i),) for i in range(50)] + [(odd,)], "x double")
+    assert T.numeric_facts(df, ["x"])["x"]["median"] == 24.5
+    with pytest.raises(M.PreparationError, match=r"x \(1\)"):
+        T.fit_numeric(df, ["x"], M.PipelineConfig(numeric_imputation=imputation))
 
 
 def category_state(spark, values, **knobs):

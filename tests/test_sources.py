@@ -268,3 +268,19 @@ def test_stream_equals_batch_and_is_not_refitted(spark, tmp_path):
     want = transform(df, state, keep=["id"])
     assert got.exceptAll(want).count() == 0 and got.count() == 200
     assert got.where("c__unknown = 1").count() == 50
+
+
+def test_line_breaks_in_quotes_are_found(spark, tmp_path):
+    df = C.read_csv(spark, put(tmp_path, "x.csv", 'a,b\n1,"x\ny"\n2,"say ""hi"""\n'))
+    assert sorted(map(tuple, df.collect())) == [(1, "x\ny"), (2, 'say "hi"')]
+
+
+def test_late_bytes_outside_the_encoding_are_refused(spark, tmp_path):
+    data = b"name\n" + b"plain text\n" * 20_000 + "caf\u00e9\n".encode("windows-1252")
+    with pytest.raises(M.PreparationError, match="not utf-8"):
+        C.read_csv(spark, put(tmp_path, "x.csv", data))
+
+
+def test_header_is_checked_with_a_given_dialect(spark, tmp_path):
+    with pytest.raises(M.PreparationError, match="duplicate_header"):
+        C.read_csv(spark, put(tmp_path, "x.csv", "name,name\nA,B\n"), ",", "utf-8")
