@@ -6,12 +6,15 @@ the positions by their first 2^k lines, and rank k+1 is the order of pairs (rank
 2^k lines on). Ranks are given to distinct pairs by one global sort, whose row numbers increase
 with the order; pairs that occur once get none, since no longer run begins there.
 
-A run counts when it has `min_words` words. For the position s let m be the fewest lines that reach
-them. The suffixes that share their first m lines are neighbours in the suffix array, an interval
-of common prefixes of length m or more; two overlapping ranks name it: rank k at s and at
-s + m - 2^k, with 2^k <= m < 2^(k+1). All positions of an interval but its first lose these m lines.
-Every line of a longer repeated run lies in such a window inside the run, so no more than
-log2(min_words) rounds are needed, and maximal runs are removed whole.
+A run counts when it has `min_words` words. Every position begins a window, the fewest lines from
+there on that reach them, and ends one, the fewest lines up to there. For a window of m lines from
+s on, the suffixes that share these lines are neighbours in the suffix array, an interval of common
+prefixes of length m or more; two overlapping ranks name it: rank k at s and at s + m - 2^k, with
+2^k <= m < 2^(k+1). All positions of an interval but its first lose these m lines.
+A line of a longer repeated run lies in the window it begins if the run has the words from there on,
+in the one it ends if the run has them up to there, and else in the window that the run's first line
+begins. All three lie inside the run, so no more than log2(min_words) rounds are needed, and maximal
+runs are removed whole.
 """
 
 from __future__ import annotations
@@ -44,14 +47,18 @@ def _lines(docs: DataFrame) -> DataFrame:
         F.size(words(F.col("x.line"))).alias("n_words"))
 
 
-def _fewest_lines(positions: Column, start: Column, min_words: int) -> Column:
-    """Lines from the start on that reach `min_words`, without a gap; null if they never do."""
+def _fewest_lines(positions: Column, start: Column, min_words: int, step: int = 1) -> Column:
+    """Lines from the start on that reach `min_words`, without a gap; null if they never do.
+
+    With a step of -1, lines from the start backwards.
+    """
     first = F.get(positions, start)
+    listed = F.slice(positions, start + 1, min_words) if step > 0 else F.reverse(F.slice(
+        positions, F.greatest(start + 2 - min_words, F.lit(1)), F.least(start + 1, F.lit(min_words))))
     reached = F.aggregate(
-        F.slice(positions, start + 1, min_words),
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("w")),
+        listed, F.struct(F.lit(0).alias("n"), F.lit(0).alias("w")),
         lambda done, x: F.when(
-            (done["w"] < min_words) & (x["seq"] == first["seq"] + done["n"]),
+            (done["w"] < min_words) & (x["seq"] == first["seq"] + step * done["n"]),
             F.struct((done["n"] + 1).alias("n"), (done["w"] + x["n_words"]).alias("w"))
         ).otherwise(done))
     return let(reached, lambda r: F.when(r["w"] >= min_words, r["n"]))
@@ -81,12 +88,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def with_needs(positions: Column) -> Column:
         return F.transform(positions, lambda x, k: F.struct(
             x["seq"].alias("seq"), x["at"].alias("at"), x["r0"].alias("r0"),
-            _fewest_lines(positions, k, min_words).alias("need")))
+            _fewest_lines(positions, k, min_words).alias("need"),
+            _fewest_lines(positions, k, min_words, -1).alias("need_back")))
 
     needs = repeated.select(*DOC, let(F.col("positions"), with_needs).alias("positions")).where(
         F.exists("positions", lambda x: x["need"].isNotNull()))
     rows = materialize(needs.select(*DOC, F.inline("positions")), "lines-positions")
-    longest = rows.agg(F.max("need")).first()[0]
+    longest = rows.agg(F.max(F.greatest("need", "need_back"))).first()[0]
     if longest is None:
         return rows.select(*DOC, F.array("at").alias("places"))
     levels = longest.bit_length() - 1
@@ -95,22 +103,30 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Overlapping ranks at the start and at the end name the interval of each window.
     whole = rows.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct(
-        "seq", "at", "need", F.array(*[f"r{k}" for k in range(levels + 1)]).alias("r")))).alias(
+        "seq", "at", "need", "need_back", F.array(*[f"r{k}" for k in range(levels + 1)]).alias("r")))).alias(
         "positions"))
 
     def windows(positions: Column) -> Column:
-        def window(x: Column, k: Column) -> Column:
-            level = F.floor(F.log2(x["need"] + F.lit(0.5))).cast("int")
+        def window(start: Column, need: Column) -> Column:
+            level = F.floor(F.log2(need + F.lit(0.5))).cast("int")
             return let(level, lambda n: F.struct(
-                x["seq"].alias("seq"), x["need"].alias("need"),
-                F.get(x["r"], n).alias("front"),
-                F.get(F.get(positions, k + x["need"] - F.pow(F.lit(2), n).cast("int"))["r"],
+                F.get(positions, start)["seq"].alias("seq"), need.alias("need"),
+                F.get(F.get(positions, start)["r"], n).alias("front"),
+                F.get(F.get(positions, start + need - F.pow(F.lit(2), n).cast("int"))["r"],
                       n).alias("back"),
-                F.transform(F.slice(positions, k + 1, F.greatest(x["need"], F.lit(1))),
+                F.transform(F.slice(positions, start + 1, F.greatest(need, F.lit(1))),
                             lambda y: y["at"]).alias("places")))
-        return F.filter(F.transform(positions, lambda x, k: F.when(
-            x["need"].isNotNull(), window(x, k))), lambda x: x["front"].isNotNull()
-            & x["back"].isNotNull())
+
+        def ended(x: Column, k: Column) -> Column:
+            # A window that its first line also begins is there already.
+            start = k + 1 - x["need_back"]
+            return F.when(x["need_back"] != F.get(positions, start)["need"],
+                          window(start, x["need_back"]))
+
+        begun = F.transform(positions, lambda x, k: F.when(
+            x["need"].isNotNull(), window(k, x["need"])))
+        return F.filter(F.concat(begun, F.transform(positions, ended)), lambda x: x[
+            "front"].isNotNull() & x["back"].isNotNull())
 
     found = materialize(whole.select(*DOC, F.inline(let(F.col("positions"), windows))),
                         "lines-windows")

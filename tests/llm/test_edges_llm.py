@@ -1,6 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import collections
+import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +11,11 @@ from pyspark.sql import functions as F
 from llm_rows import EDGE_ROWS, LONG, SCHEMA
 from furrow.llm import archive, bpe, exact, jaccard, licenses, lines, mixing, ordinal, rules
 from furrow.llm import transducer
+from furrow.llm.common import WORD
 from furrow.llm.license_texts import TEXTS
-from furrow.llm.queries import vocabulary
+from furrow.llm.queries import QUERIES, vocabulary
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
@@ -161,6 +167,60 @@ def test_lines(edge, nothing):
     assert lines.line_dedup(nothing).count() == 0
 
 
+def maximal_runs(texts, least, overlap):
+    """Lines by text that lie in a run of `least` words with an earlier copy, from all pairs."""
+    split = [[(k, line, len(re.findall(WORD, line))) for k, line in enumerate(text.split("\n"))
+              if re.search(WORD, line)] for text in texts]
+    before = collections.defaultdict(list)
+    gone = [set() for _ in texts]
+    for i, seq in enumerate(split):
+        for j in range(len(seq)):
+            for a, b in before[seq[j][1]]:
+                n = 0
+                while (j + n < len(seq) and b + n < len(split[a])
+                       and seq[j + n][1] == split[a][b + n][1] and (overlap or a != i or b + n < j)):
+                    n += 1
+                if sum(x[2] for x in seq[j:j + n]) >= least:
+                    gone[i].update(x[0] for x in seq[j:j + n])
+            before[seq[j][1]].append((i, j))
+    return gone
+
+
+def without(text, gone):
+    return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
+
+
+@pytest.mark.parametrize("sizes", [(60, 5), (49, 60, 1), (7, 25, 25, 3, 4), (30, 1, 30), (49,)])
+def test_lines_of_a_maximal_run(spark, sizes):
+    """All lines of a repeated run go, however short those at its ends are."""
+    run = "\n".join(" ".join(f"l{k}w{j}" for j in range(n)) for k, n in enumerate(sizes))
+    docs = spark.createDataFrame([(1, "a\n" + run + "\nb"), (2, "c\n" + run + "\nd")],
+                                 "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in lines.line_dedup(docs).collect()}
+    assert rows == {1: "a\n" + run + "\nb", 2: "c\nd" if sum(sizes) >= 50 else "c\n" + run + "\nd"}
+
+
+def test_lines_against_maximal_runs(spark):
+    draw = random.Random(7)
+    pool = [" ".join([f"p{k}"] * n) for k, n in enumerate([1, 1, 2, 3, 5, 8])]
+    texts = ["\n".join(draw.choice(pool) for _ in range(draw.randint(1, 14))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in lines.line_dedup(docs, min_words=12).collect()}
+    for i, gone in enumerate(maximal_runs(texts, 12, overlap=True)):
+        assert found[i] == without(texts[i], gone), i
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_op7_against_maximal_runs(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(
+        f"{SF_DIR}/documents.parquet").collect()}
+    found = {r.doc_id: (r.text or "", r.n_removed)
+             for r in QUERIES["op7_line_dedup"](spark, SF_DIR).collect()}
+    ids = sorted(texts)
+    runs = maximal_runs([texts[i] for i in ids], lines.MIN_WORDS, overlap=True)
+    assert found == {i: (without(texts[i], gone), len(gone)) for i, gone in zip(ids, runs)}
+
+
 def test_mixing(edge, nothing):
     rows = mixing.mix(edge).collect()
     assert len(rows) == len(EDGE_ROWS)
