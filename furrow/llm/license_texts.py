@@ -99,8 +99,36 @@ copyright notice and this permission notice appear in all copies.
     ("Zlib", "zlib License\n\n" + _ZLIB),
     ("Zlib", _ZLIB),
 )
+_CC_PARTS = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+_CC_KINDS = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+_CC_VERSIONS = (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"),
+                ("2.0", "Generic"))
+
+
+def _cc_lines(kind: str, version: str, area: str) -> list[str]:
+    """Lines that name a Creative Commons licence by its short or long name or its SPDX id."""
+    parts = "-".join(_CC_PARTS[part] for part in kind.split("-"))
+    if version != "4.0":
+        parts = parts.replace("NoDerivatives", "NoDerivs")
+    short, long = f"CC {kind} {version}", f"Creative Commons {parts} {version} {area}"
+    leads = ("", "Licensed under ", "This work is licensed under ")
+    return [f"SPDX-License-Identifier: {short}",
+            *(lead + name for lead in leads for name in (short, f"{short} {area}", long)),
+            f"{long} License", *(f"{lead}{article} {long} License" for lead in leads[1:]
+                                 for article in ("a", "the"))]
+
+
+_CC_NOTICES = tuple(
+    (f"CC-{kind}-{version}", line) for kind in _CC_KINDS for version, area in _CC_VERSIONS
+    for line in _cc_lines(kind, version, area)) + tuple(
+    ("CC0-1.0", line) for line in (
+        "SPDX-License-Identifier: CC0-1.0",
+        *(lead + name for lead in ("", "Licensed under ", "This work is licensed under ",
+                                   "This work is marked with ", "Released under ")
+          for name in ("CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"))))
 # (licence id, a line that stands for it)
 NOTICES = (
+    *_CC_NOTICES,
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Released under the MIT License."),
@@ -110,10 +138,6 @@ NOTICES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 "
-                  "International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
-                     "International License."),
 )
 # Spellings that count as one: pattern over lower-case words, and what stands for them.
 SPELLINGS = (

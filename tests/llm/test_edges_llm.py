@@ -167,6 +167,30 @@ def test_lines(edge, nothing):
     assert lines.line_dedup(nothing).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_every_licence_line_of_the_tables(spark, scale):
+    docs = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet")
+    named = docs.select(F.explode(F.split("text", "\n")).alias("text")).where(
+        F.col("text").rlike(r"(?i)(licen[sc]ed|released) under|SPDX-|creative commons|^CC")).where(
+        F.length("text") < 200).distinct()
+    rows = licenses.license_scan(named, id_col="text").collect()
+    assert len(rows) >= 3 and [r.doc_id for r in rows if not r.notice_ids] == []
+    assert {r.doc_id: r.notice_ids for r in rows}["Licensed under CC BY-NC 4.0."] == "CC-BY-NC-4.0"
+
+
+def test_creative_commons_lines(spark):
+    wanted = {"CC BY-ND 4.0": "CC-BY-ND-4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0":
+              "CC-BY-NC-SA-4.0", "SPDX-License-Identifier: CC0-1.0": "CC0-1.0",
+              "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 "
+              "Unported License.": "CC-BY-NC-ND-3.0", "CC BY 9.9": "",
+              "This work is licensed under a Creative Commons Attribution 4.0 International "
+              "License.": "CC-BY-4.0"}
+    docs = spark.createDataFrame([(line,) for line in wanted], "text string")
+    assert {r.doc_id: r.notice_ids for r in licenses.license_scan(
+        docs, id_col="text").collect()} == wanted
+
+
 def maximal_runs(texts, least, overlap):
     """Lines by text that lie in a run of `least` words with an earlier copy, from all pairs."""
     split = [[(k, line, len(re.findall(WORD, line))) for k, line in enumerate(text.split("\n"))
