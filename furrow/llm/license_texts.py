@@ -1,5 +1,7 @@
 """Licence texts and notices whose canonical digests the licence scan looks up."""
 
+import pkgutil
+
 # ---- fixed values: texts as their stewards publish them; placeholders stand in dropped lines --
 _MIT_GRANT = """\
 Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -79,8 +81,27 @@ freely, subject to the following restrictions:
    misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.
 """
-# (licence id, whole text)
-TEXTS = (
+# Long texts, in files of `texts`; most end with advice on their use, which is often left out.
+_FILES = (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"),
+          ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"),
+          ("CC0-1.0", "CC0-1.0"))
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _long_texts() -> list[tuple[str, str]]:
+    found = []
+    for license_id, name in _FILES:
+        text = pkgutil.get_data("furrow.llm", f"texts/{name}.txt").decode()
+        terms, end, _ = text.partition(_END)
+        found += [(license_id, text)] + ([(license_id, terms + end), (license_id, terms)] if end
+                                         else [])
+    return found
+
+
+# (licence id, whole text), each as published and in one line: owner statements end with their line
+# or where a text begins, so that the long texts, which hold some, have another form in one line.
+_AS_PUBLISHED = (
+    *_long_texts(),
     ("MIT", "MIT License\n\n" + _MIT_GRANT + _MIT_NOTICE + _MIT_WARRANTY),
     ("MIT", _MIT_GRANT + _MIT_NOTICE + _MIT_WARRANTY),
     ("MIT-0", "MIT No Attribution\n\n" + _MIT_GRANT.replace(
@@ -99,6 +120,7 @@ copyright notice and this permission notice appear in all copies.
     ("Zlib", "zlib License\n\n" + _ZLIB),
     ("Zlib", _ZLIB),
 )
+TEXTS = tuple((i, " ".join(text.split())) for i, text in _AS_PUBLISHED) + _AS_PUBLISHED
 _CC_PARTS = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
 _CC_KINDS = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
 _CC_VERSIONS = (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"),

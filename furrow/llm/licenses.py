@@ -14,16 +14,28 @@ from furrow.llm.license_texts import NOTICES, SPELLINGS, TEXTS
 COPYRIGHT_LINE = (r"^[^\p{L}\p{N}©(]*((copyright\s*)?(©|\(c\))|copyright\s+([0-9<\[{]|by )"
                   r"|copyright\s*$|all rights reserved)")
 SEPARATORS = r"[^\p{L}\p{N}]+"
+# An owner statement in a line that goes on with a text or notice, and the words these begin with.
+OWNER = r"((copyright\s*)?(©|\(c\)\s*(?=[0-9<\[{]))|copyright\s*\(c\)|copyright\s+([0-9<\[{]|by ))"
+OPENINGS = (r"(permission is hereby granted|permission to use, copy|redistribution and use in source"
+            r"|this software is provided|everyone is permitted to copy"
+            r"|(this work is )?licen[sc]ed under |released under |spdx-license-identifier)")
+# Items of lists in known texts that only look like an owner.
+LIST_ITEM = r"^\s*\(c\)\s+(you must retain|under patent claims)"
 # -------------------------------------------------------------------------------------------
 
 
 def canonical_line(line: Column) -> Column:
-    """A line in lower case, words apart by one space, without owners and variant spellings."""
-    lowered = F.lower(line)
+    """A line in lower case, words apart by one space, without owners and variant spellings.
+
+    An owner statement is cut up to the words that begin a known text or notice, if some follow in
+    its line, else the whole line is the statement.
+    """
+    lowered = F.regexp_replace(F.lower(line), rf"{OWNER}[^\n]{{0,300}}?(?=\b{OPENINGS})", " ")
     words = F.concat(F.lit(" "), F.regexp_replace(lowered, SEPARATORS, " "), F.lit(" "))
     for variant, standard in SPELLINGS:
         words = F.replace(words, F.lit(f" {variant} "), F.lit(f" {standard} "))
-    return F.when(lowered.rlike(COPYRIGHT_LINE), "").otherwise(F.trim(words))
+    return F.when(lowered.rlike(COPYRIGHT_LINE) & ~lowered.rlike(LIST_ITEM), "").otherwise(
+        F.trim(words))
 
 
 def _canonical_lines(text: Column) -> Column:

@@ -4,6 +4,7 @@ import collections
 import os
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from furrow.llm.common import WORD
 from furrow.llm.license_texts import TEXTS
 from furrow.llm.queries import QUERIES, vocabulary
 
+SHORT = "doc_id long, text string"
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -191,6 +193,30 @@ def test_creative_commons_lines(spark):
         docs, id_col="text").collect()} == wanted
 
 
+@pytest.mark.parametrize("license_id", sorted({i for i, _ in TEXTS}))
+def test_reflowed_licences(spark, license_id):
+    """Every text is found in one line, with an owner before or inside; short ones in any lines."""
+    texts = [t for i, t in TEXTS if i == license_id and "\n" in t]
+    short = all(len(t) < 3_000 for t in texts)
+    owner = "Copyright (c) 2020 Some One. All rights reserved."
+    docs = [" ".join(t.split()) for t in texts]
+    docs += [textwrap.fill(d, 100) for d in docs if short] + [f"{owner}\n\n{t}" for t in texts]
+    opening = re.compile("(Permission is hereby|Permission to use|Redistribution and|"
+                         "This software is provided)")
+    docs += [opening.sub(rf"{owner} \1", d, count=1) for d in docs[:len(texts)]]
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(docs)), SHORT)).collect()
+    assert [r.doc_id for r in rows if r.license_id != license_id] == []
+
+
+def test_owner_before_a_notice(spark):
+    docs = spark.createDataFrame([
+        (1, "Copyright (c) 2020 X. Released under the MIT License."), (2, "(c) Some One Inc"),
+        (3, "Copyright 2021 Some One, for all of this")], SHORT)
+    rows = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    assert [rows[k].notice_ids for k in (1, 2, 3)] == ["MIT", "", ""]
+    assert rows[2].canonical_sha256 == rows[3].canonical_sha256
+
+
 def maximal_runs(texts, least, overlap):
     """Lines by text that lie in a run of `least` words with an earlier copy, from all pairs."""
     split = [[(k, line, len(re.findall(WORD, line))) for k, line in enumerate(text.split("\n"))
