@@ -29,17 +29,20 @@ STEPS, RATE, MOMENTUM, PENALTY = 400, 0.5, 0.95, 3e-5
 LEAST_DOCUMENTS = 5
 # A word counts for the number of distinct words to minus this power.
 WORD_POWER = 0.25
-SELECT_FROM, SELECT_AT = 2, 0.4
+# A document is selected from the probability that this share of the best grade's rated documents
+# misses, each scored by a fit without it; from SELECT_AT if none are rated.
+SELECT_FROM, SELECT_AT, MISSED, FOLDS = 2, 0.4, 0.02, 2
 REMEMBERED = 200_000
 _WORDS = re.compile(WORD)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by feature and one threshold per grade above the lowest."""
+    """Weights by feature, one threshold per grade above the lowest, and where selection starts."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = SELECT_AT
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ...: one column each."""
@@ -97,7 +100,6 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def fitted(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int) -> Model:
     """The maximum likelihood fit with a small ridge, by full-batch gradient steps with momentum.
-
     Gradients add up over documents, so features that many documents agree on move first.
     """
     # A fixed order, so that sums do not depend on how rows arrive.
@@ -136,6 +138,23 @@ def fitted(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int) -> Model
                  np.concatenate([[cuts[0]], cuts[0] + np.cumsum(np.exp(cuts[1:]))]))
 
 
+def scores(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    return np.array([float(model.weights[s] @ v) if len(s) else 0.0 for _, s, v in rows])
+
+
+def chosen_cut(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int,
+               select_from: int = SELECT_FROM) -> float:
+    """The probability of `select_from` that the share MISSED of the best grade's rows is below."""
+    found = []
+    for fold in range(FOLDS):
+        own = [r for r in rows[fold::FOLDS] if r[0] == grades - 1]
+        others = [r for k, r in enumerate(rows) if k % FOLDS != fold]
+        if own and others:
+            model = fitted(others, grades)
+            found.append(model.tails(scores(model, own))[:, select_from - 1])
+    return float(np.quantile(np.concatenate(found), MISSED)) if found else SELECT_AT
+
+
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int = 3,
         id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Fit on up to `sample` rated documents, those with the smallest hashes of their ids.
@@ -164,24 +183,29 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int = 3,
     def train(group: pd.DataFrame) -> pd.DataFrame:
         # Whole documents of more than `sample` rated rows cannot arrive: ids may repeat.
         ordered = group.sort_values(["doc_id", "grade"]).head(sample)
-        model = fitted([(int(g), s, v) for g, s, v in zip(
-            ordered["grade"], ordered["slots"], ordered["shares"])], grades)
+        rows = [(int(g), s, v) for g, s, v in zip(
+            ordered["grade"], ordered["slots"], ordered["shares"])]
+        model = fitted(rows, grades)
         return pd.DataFrame({"weights": [model.weights.tolist()],
-                             "thresholds": [model.thresholds.tolist()]})
+                             "thresholds": [model.thresholds.tolist()],
+                             "cut": [chosen_cut(rows, grades)]})
 
     found = texts.mapInArrow(
         extract, "part string, doc_id string, grade int, slots array<int>, shares array<float>"
-    ).groupBy("part").applyInPandas(train, "weights array<float>, thresholds array<double>").first()
+    ).groupBy("part").applyInPandas(
+        train, "weights array<float>, thresholds array<double>, cut double").first()
     if found is None:
         return fitted([], grades)
-    return Model(np.array(found["weights"], np.float32), np.array(found["thresholds"]))
+    return Model(np.array(found["weights"], np.float32), np.array(found["thresholds"]),
+                 found["cut"])
 
 
 def graded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-           select_from: int = SELECT_FROM, select_at: float = SELECT_AT) -> DataFrame:
+           select_from: int = SELECT_FROM, select_at: float | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, expected_grade, p_ge_1, p_ge_2, ..., selected.
 
-    A document is selected if its grade is `select_from` or better with probability `select_at`.
+    A document is selected if its grade is `select_from` or better with probability `select_at`,
+    where none is given the cut that the fit chose for SELECT_FROM.
     Texts are read whole; null counts as empty, whose score is zero; repeated rows are graded each
     for itself; other columns are not read, and an empty table gives an empty result.
     """
@@ -206,7 +230,8 @@ def graded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     schema = f"doc_id {kind}, expected_grade double, " + ", ".join(f"{n} double" for n in names)
     return rows.mapInArrow(score, schema).select(
-        "*", (F.col(names[select_from - 1]) >= select_at).alias("selected"))
+        "*", (F.col(names[select_from - 1]) >= (
+            model.cut if select_at is None else select_at)).alias("selected"))
 
 
 def label_grade() -> Column:

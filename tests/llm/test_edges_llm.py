@@ -193,6 +193,20 @@ def test_creative_commons_lines(spark):
         docs, id_col="text").collect()} == wanted
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_op5_toxic_recall(spark):
+    """More than half of the toxic rows held out are left out, at a cut that the fit chose."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = ordinal.fit(docs, labels.where("doc_id % 4 != 1"), ordinal.label_grade())
+    held = labels.where("doc_id % 4 = 1").withColumn("grade", ordinal.label_grade())
+    shares = {r.grade: r.share for r in ordinal.graded(
+        docs.join(held.select("doc_id").distinct(), "doc_id"), model).join(held, "doc_id").groupBy(
+        "grade").agg(F.avg(F.col("selected").cast("int")).alias("share")).collect()}
+    assert model.cut != ordinal.SELECT_AT
+    assert shares[1] < 0.5 and shares[2] > 0.97 and shares[0] < 0.01
+
+
 @pytest.mark.parametrize("license_id", sorted({i for i, _ in TEXTS}))
 def test_reflowed_licences(spark, license_id):
     """Every text is found in one line, with an owner before or inside; short ones in any lines."""
