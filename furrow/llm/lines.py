@@ -10,7 +10,8 @@ A run counts when it has `min_words` words. Every position begins a window, the
 there on that reach them, and ends one, the fewest lines up to there. For a window of m lines from
 s on, the suffixes that share these lines are neighbours in the suffix array, an interval of common
 prefixes of length m or more; two overlapping ranks name it: rank k at s and at s + m - 2^k, with
-2^k <= m < 2^(k+1). All positions of an interval but its first lose these m lines.
+2^k <= m < 2^(k+1). All positions of an interval but its first, and those that overlap it, lose
+these m lines.
 A line of a longer repeated run lies in the window it begins if the run has the words from there on,
 in the one it ends if the run has them up to there, and else in the window that the run's first line
 begins. All three lie inside the run, so no more than log2(min_words) rounds are needed, and maximal
@@ -134,7 +135,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     interval = ["need", "front", "back"]
     first = found.groupBy(*interval).agg(F.min(order).alias("first"), F.count("*").alias("n")
                                          ).where("n > 1").drop("n")
-    later = found.join(first, interval).where(order != F.col("first"))
+    same = F.struct(F.col("doc_id").isNull(), "doc_id", "text_mark").eqNullSafe(F.struct(
+        F.col("first.none"), F.col("first.doc_id"), F.col("first.text_mark")))
+    later = found.join(first, interval).where(
+        ~same | (F.col("seq") >= F.col("first.seq") + F.col("need")))
     return materialize(later.groupBy(*DOC).agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "lines-removed")
 
