@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from furrow.llm.archive import archived_pages
 from furrow.llm.bpe import encode_documents
+from furrow.llm.bytepieces import encode_bytes
 from furrow.llm.common import table
 from furrow.llm.exact import exact_copies
 from furrow.llm.jaccard import jaccard_links
@@ -82,3 +83,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_license_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_byte_pieces")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return encode_bytes(table(spark, sf_dir, "documents"),
+                        vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
