@@ -162,3 +162,88 @@ SELECT doc_id, w.digest AS canonical_sha256, known.license_id,
 FROM wholes w LEFT JOIN known ON w.digest = known.digest LEFT JOIN notices USING (r)
 WHERE kind = 'd'
 """
+
+
+# ---- vector codes: rounds written out, every part against every entry --------------------------
+
+_KEPT_SQL = """
+kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (
+  SELECT r, p, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) AS x
+  FROM kept, range(16) AS t(p)),
+firsts AS (
+  SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept),
+book0 AS (SELECT p, e, x AS y FROM parts JOIN firsts USING (r) WHERE e < 64)"""
+
+
+def _assigned(step: int) -> str:
+    return f"""
+near{step} AS (
+  SELECT r, p, x, min(struct_pack(d := d, e := e)) AS best FROM (
+    SELECT r, p, x, e, list_sum([(x[i] - y[i]) * (x[i] - y[i]) FOR i IN range(1, len(x) + 1)])
+                         ::BIGINT AS d
+    FROM parts JOIN book{step} USING (p))
+  GROUP BY r, p, x)"""
+
+
+def _moved(step: int) -> str:
+    return f"""
+mean{step} AS (
+  SELECT p, e, list(floor_mean ORDER BY i) AS y FROM (
+    SELECT p, best.e AS e, i,
+           ((sum(x[i]) - (((sum(x[i]) % count(*)) + count(*)) % count(*))) // count(*))::BIGINT
+             AS floor_mean
+    FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS i FROM near{step})
+    GROUP BY p, best.e, i) GROUP BY p, e),
+book{step + 1} AS (
+  SELECT p, e, coalesce(m.y, b.y) AS y FROM book{step} b LEFT JOIN mean{step} m USING (p, e))"""
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH {_KEPT_SQL}, {_assigned(0)}, {_moved(0)}, {_assigned(1)}, {_moved(1)}, {_assigned(2)},
+whole AS (
+  SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256
+  FROM book2),
+coded AS (
+  SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code,
+         sum(best.d)::BIGINT AS error FROM near2 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       codebooks_sha256
+FROM coded JOIN kept USING (r), whole
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms_sql(table: str, key: str) -> str:
+    return f"""
+  SELECT {key}, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term FROM {table}"""
+
+
+ORACLES["op13_ranked_search"] = f"""
+WITH words AS ({_terms_sql("documents", "doc_id")}),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sizes),
+damped AS (SELECT doc_id, 25 + (75 * n * docs) // total AS m FROM sizes, whole),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), whole),
+asked AS (SELECT item_id, term, count(*) AS times FROM ({_terms_sql("benchmark", "item_id")})
+          GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN damped USING (doc_id)
+  GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank
+  FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from furrow.llm.archive import archived_pages
 from furrow.llm.bpe import encode_documents
 from furrow.llm.bytepieces import encode_bytes
+from furrow.llm.codes import vector_codes
 from furrow.llm.common import table
 from furrow.llm.exact import exact_copies
 from furrow.llm.jaccard import jaccard_links
@@ -17,6 +18,7 @@ from furrow.llm.lines import line_dedup
 from furrow.llm.mixing import mix
 from furrow.llm.ordinal import fit, graded, label_grade
 from furrow.llm.rules import quality_verdicts
+from furrow.llm.search import ranked_search
 from furrow.llm.transducer import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +92,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return encode_bytes(table(spark, sf_dir, "documents"),
                         vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op12_vector_codes")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_ranked_search")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
