@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import WORD, doc_columns, full_text, named, unused_name
+from furrow.llm.common import WORD, apart, doc_columns, full_text, named, unused_name
 from furrow.llm.components import components
 from furrow.session import materialize, ship_package
 
@@ -292,11 +292,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.first("kept").alias("kept"), F.count("*").alias("n"),
         F.max("n_grams").alias("n_grams")).where("NOT kept OR (n > 1 AND n_grams > 0)")
     number, key, mark, kept = (unused_name(docs, c) for c in ("number", "of", "mark", "kept"))
-    gone = gone.select(F.col("doc_id").alias(key), F.col("mark").alias(mark),
-                       F.col("kept").alias(kept))
-    rows = docs.join(gone, named(id_col).eqNullSafe(F.col(key)) & (
+    gone = materialize(gone.select(F.col("doc_id").alias(key), F.col("mark").alias(mark),
+                                   F.col("kept").alias(kept)), "jaccard-gone")
+    listed, others = apart(docs, F.xxhash64(named(id_col), F.xxhash64(full_text(text_col))),
+                           gone, F.xxhash64(key, mark))
+    rows = listed.join(gone.hint("merge"), named(id_col).eqNullSafe(F.col(key)) & (
         F.xxhash64(full_text(text_col)) == F.col(mark)), "left")
-    untouched = rows.where(F.col(kept).isNull())
+    untouched = others.unionAll(rows.where(F.col(kept).isNull()).select(*others.columns))
     from pyspark.sql import Window
     repeated = rows.where(kept).withColumn(number, F.row_number().over(
         Window.partitionBy(key, mark).orderBy(mark))).where(F.col(number) == 1)

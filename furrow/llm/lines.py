@@ -23,7 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.common import WORD, doc_columns, full_text, let, named, unused_name, words
+from furrow.llm.common import (
+    WORD,
+    apart,
+    doc_columns,
+    full_text,
+    let,
+    named,
+    unused_name,
+    words,
+)
 from furrow.session import materialize
 
 MIN_WORDS = 50
@@ -156,9 +165,12 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     gone = removed_lines(docs, id_col, text_col, min_words)
     key, mark, cut = (unused_name(docs, n) for n in ("gone_id", "gone_mark", "gone_places"))
+    touched, untouched = apart(
+        docs, F.xxhash64(named(id_col), F.xxhash64(full_text(text_col))),
+        gone, F.xxhash64("doc_id", "text_mark"))
     gone = gone.select(F.col("doc_id").alias(key), F.col("text_mark").alias(mark),
                        F.col("places").alias(cut))
-    rows = docs.join(gone, named(id_col).eqNullSafe(F.col(key)) & (
+    rows = touched.join(gone.hint("merge"), named(id_col).eqNullSafe(F.col(key)) & (
         F.xxhash64(full_text(text_col)) == F.col(mark)), "left")
     lines = F.split(full_text(text_col), "\n")
 
@@ -167,10 +179,11 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
         return F.array_join(F.transform(numbers, lambda k: F.get(all_lines, k)), "\n")
 
     text = F.when(F.col(cut).isNull(), named(text_col)).otherwise(let(lines, kept))
+    counted = F.size(lines).cast("long").alias(total)
     return rows.select(
         *[text.alias(c) if c == text_col else named(c) for c in docs.columns],
-        F.size(lines).cast("long").alias(total),
-        F.coalesce(F.size(cut), F.lit(0)).cast("long").alias(removed))
+        counted, F.coalesce(F.size(cut), F.lit(0)).cast("long").alias(removed)).unionAll(
+        untouched.select("*", counted, F.lit(0).cast("long").alias(removed)))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from compare import connect, difference
+from test_edges_llm import maximal_runs, without
 from furrow.llm import bpe, ordinal, transducer
 from furrow.llm.oracles import ORACLES
 from furrow.llm.queries import QUERIES, vocabulary
@@ -60,24 +61,10 @@ def linked(texts):
 
 
 def without_runs(texts, least=50):
-    """Texts without later copies of runs of lines with `least` words."""
-    seqs = {i: [(k, line, len(WORD.findall(line))) for k, line in enumerate(t.split("\n"))
-                if WORD.search(line)] for i, t in texts.items()}
-    places = collections.defaultdict(list)
-    for i in sorted(seqs):
-        for j in range(len(seqs[i])):
-            n = total = 0
-            while j + n < len(seqs[i]) and total < least:
-                total += seqs[i][j + n][2]
-                n += 1
-            if total >= least:
-                places[tuple(x[1] for x in seqs[i][j:j + n])].append((i, j, n))
-    gone = collections.defaultdict(set)
-    for found in places.values():
-        for i, j, n in found[1:]:
-            gone[i].update(x[0] for x in seqs[i][j:j + n])
-    return {i: ("\n".join(line for k, line in enumerate(t.split("\n")) if k not in gone[i]),
-                len(gone[i])) for i, t in texts.items()}
+    """Texts without later copies of maximal runs of lines with `least` words."""
+    ids = sorted(texts)
+    runs = maximal_runs([texts[i] for i in ids], least, overlap=False)
+    return {i: (without(texts[i], gone), len(gone)) for i, gone in zip(ids, runs)}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -166,6 +153,6 @@ def test_pipeline_against_brute_force(spark, texts):
 
 def test_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names}
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names}
     assert "pipeline" in names
     assert bpe.LEAF > 0 and transducer.CHUNK > 0
