@@ -11,9 +11,10 @@ encoding of the joined text: each pair of neighbours stands in one of the three.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.common import doc_columns
+from furrow.llm.memory import Memory
 from furrow.session import ship_package
 
 LEAF = 65_536
 # Characters on either side of a join that the first window takes; longer than any added token.
 WINDOW = 128
-# Words that a worker remembers.
-REMEMBERED = 500_000
+# Bytes that a worker remembers of words, and characters of texts whose words it learns at once.
+REMEMBERED = 64 << 20
+LEARNT = 1 << 20
 _WORD = re.compile(r"[^ \t\n\r]+")
 
 
@@ -68,7 +71,7 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, tuple[int, str, str, bytes]] = {}
+        self.memory = Memory(REMEMBERED)
 
     @classmethod
     def at(cls, path: str) -> Coder:
@@ -84,31 +87,40 @@ class Coder:
     def decode(self, ids) -> str:
         return self.tokenizer.decode(list(ids), skip_special_tokens=False)
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Remember the words of these texts that are new."""
-        if len(self.words) > REMEMBERED:
-            self.words = {}
-        new = list({word for text in texts for word in text}.difference(self.words))
+    def learn(self, words: Iterable[str]) -> None:
+        """Remember token count, ids and decoded text of those that are new."""
+        new = self.memory.missing(words)
         for start in range(0, len(new), 20_000):
             some = new[start:start + 20_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(
                 some, add_special_tokens=False)]
             decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            self.words.update(zip(some, zip(
-                map(len, ids), (" ".join(map(str, i)) for i in ids), decoded,
-                (np.array(i, np.int32).tobytes() for i in ids))))
+            listed = [" ".join(map(str, i)) for i in ids]
+            self.memory.put(some, zip(map(len, ids), listed, decoded),
+                            sum(map(len, listed)) + sum(map(len, decoded)))
 
-    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str, bytes]]:
-        """Per text: token count, SHA-256 of its ids and of the decoded text, ids as int32.
+    def digests(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str, str]]:
+        """Per text: token count, SHA-256 of its ids and of the decoded text, its ids as text.
 
         Decoding puts one space between tokens, so it goes word by word as well.
         """
-        split = [_WORD.findall(text) for text in texts]
-        self.learn(split)
-        for text in split:
-            found = [x for x in map(self.words.__getitem__, text) if x[0]]
-            yield (sum(x[0] for x in found), sha256(" ".join([x[1] for x in found])),
-                   sha256(" ".join([x[2] for x in found])), b"".join([x[3] for x in found]))
+        def told() -> Iterator[tuple[int, str, str, str]]:
+            self.learn(itertools.chain.from_iterable(waiting))
+            for words in waiting:
+                found = [x for x in map(self.memory.now.__getitem__, words) if x[0]]
+                ids = " ".join([x[1] for x in found])
+                yield (sum(x[0] for x in found), sha256(ids),
+                       sha256(" ".join([x[2] for x in found])), ids)
+            waiting.clear()
+
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(_WORD.findall(text))
+            size += len(text)
+            if size > LEARNT:
+                yield from told()
+                size = 0
+        yield from told()
 
 
 def sha256(text: str) -> str:
@@ -199,25 +211,26 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id",
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 some = batch.slice(start, 512)
-                counts, ids, decoded, packed = map(list, zip(*coder.digests(
-                    some.column("text").to_pylist())))
+                counts, ids, decoded, listed = map(list, zip(*coder.digests(
+                    text.as_py() for text in some.column("text"))))
                 columns = [some.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids),
                            pa.array(decoded)]
                 if with_ids:
                     ends = np.cumsum([0, *counts]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(
-                        ends, np.frombuffer(b"".join(packed), np.int32)))
+                        ends, np.fromstring(" ".join(listed), np.int32, sep=" ")))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                key = sha256(text)
+            for k in range(batch.num_rows):
+                text = batch.column("text")[k].as_py()
                 for number, start in enumerate(range(0, len(text), leaf)):
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(k, 1), pa.array([key]),
-                         pa.array([number], pa.int32()), pa.array([text[start:start + leaf]])],
-                        ["doc_id", "key", "leaf", "text"])
+                        [batch.column("doc_id").slice(k, 1), batch.column("key").slice(k, 1),
+                         batch.column("copies").slice(k, 1), pa.array([number], pa.int32()),
+                         pa.array([text[start:start + leaf]])],
+                        ["doc_id", "key", "copies", "leaf", "text"])
 
     def encode_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.at(path)
@@ -228,26 +241,32 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id",
                     [*batch.slice(k, 1).columns,
                      *(pa.array([x.astype(np.int32)], pa.list_(pa.int32()))
                        for x in (e.ids, e.starts, e.ends))],
-                    ["doc_id", "key", "leaf", "text", "ids", "starts", "ends"])
+                    ["doc_id", "key", "copies", "leaf", "text", "ids", "starts", "ends"])
 
     def join_leaves(group: pd.DataFrame) -> pd.DataFrame:
         coder = Coder.at(path)
-        copies = int((group["leaf"] == 0).sum())
-        leaves = group.drop_duplicates("leaf").sort_values("leaf")
+        leaves = group.sort_values("leaf")
         found = tree(coder, leaves["text"].tolist(), [
             Encoding(np.asarray(i, np.int32), np.asarray(s, np.int64), np.asarray(e, np.int64))
             for i, s, e in zip(leaves["ids"], leaves["starts"], leaves["ends"])])
         ids = found.ids.tolist()
         row = {"doc_id": group["doc_id"].iloc[0], "n_tokens": len(ids),
                "ids_sha256": sha256(" ".join(map(str, ids))),
-               "decoded_sha256": sha256(coder.decode(ids))}
-        return pd.DataFrame([row | ({"ids": ids} if with_ids else {})] * copies)
+               "decoded_sha256": sha256(coder.decode(ids)), "copies": group["copies"].iloc[0]}
+        return pd.DataFrame([row | ({"ids": ids} if with_ids else {})])
 
     long_text = F.length("text") > leaf
     short = rows.where(~long_text).mapInArrow(whole, result)
-    leaf_schema = f"doc_id {kind}, key string, leaf int, text string"
-    dealt = rows.where(long_text).mapInArrow(cut, leaf_schema).repartition("key", "leaf")
+    leaf_schema = f"doc_id {kind}, key string, copies long, leaf int, text string"
+    # Rows that repeat id and text are counted before the shuffle and written out at the end.
+    once = rows.where(long_text).groupBy("doc_id", F.sha2("text", 256).alias("key")).agg(
+        F.first("text").alias("text"), F.count("*").alias("copies"))
+    # With a number, Spark does not put the few long texts' leaves back into one task.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = once.mapInArrow(cut, leaf_schema).repartition(tasks, "key", "leaf")
     encoded = dealt.mapInArrow(
         encode_leaf, leaf_schema + ", ids array<int>, starts array<int>, ends array<int>")
-    return short.unionByName(
-        encoded.groupBy("doc_id", "key").applyInPandas(join_leaves, result))
+    joined_texts = encoded.groupBy("doc_id", "key").applyInPandas(
+        join_leaves, result + ", copies long")
+    repeated = joined_texts.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return short.unionByName(repeated.drop("copies", "copy"))

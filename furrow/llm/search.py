@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,7 +121,7 @@ class Shard:
 
     def best(self, wanted: list[tuple[int, int, int]], best: int,
              to_beat: int) -> list[tuple[int, int]]:
-        """The `best` documents of highest score, ties included, with their exact scores.
+        """The `best` documents of highest score, of equal ones the first, with exact scores.
 
         `wanted` holds number, weight and times of each term. Documents below `to_beat` are left
         out, as are those without a score.
@@ -153,7 +154,7 @@ class Shard:
             alive = np.flatnonzero(upper >= max(to_beat, 1))
             if (upper[alive] == lower[alive]).all():
                 break
-        order = alive[np.argsort(-lower[alive], kind="stable")]
+        order = alive[np.argsort(-lower[alive], kind="stable")][:best]
         return [(int(d), int(lower[d])) for d in order]
 
 
@@ -190,6 +191,8 @@ def _best_of_block(index: DataFrame, block: list[Item], weights: dict[int, int],
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = [[] for _ in asked]
         for batch in _shards(batches, shard_documents, shard_postings):
+            # In the order of ids, so that of equal scores the lower ids come first.
+            batch = batch.take(pc.sort_indices(batch.column("doc_id"), null_placement="at_end"))
             column = batch.column("terms")
             doc = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy())
             counts = batch.column("counts").flatten().to_numpy()
@@ -202,9 +205,8 @@ def _best_of_block(index: DataFrame, block: list[Item], weights: dict[int, int],
             for k, wanted in enumerate(asked):
                 to_beat = reached[k][-1] if len(reached[k]) == best else 0
                 found = shard.best(wanted, best, to_beat)
-                # All that tie with the last one go on: ids decide among them.
                 rows.extend((k, d, score) for d, score in found)
-                reached[k] = sorted(reached[k] + [s for _, s in found[:best]], reverse=True)[:best]
+                reached[k] = sorted(reached[k] + [s for _, s in found], reverse=True)[:best]
             if rows:
                 item, local, score = map(list, zip(*rows))
                 yield pa.RecordBatch.from_arrays(
