@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.operators import dependence, spellings
+from furrow.operators import dependence, neighbours, spellings
 from furrow.operators import split as S
 from furrow.operators import target_encoding as E
-from furrow.plans.dirty import table
-from furrow.plans.queries import orders_split, part_split, query, tidy
+from furrow.plans.dirty import lineitem_reg, table
+from furrow.plans.queries import LINE_KEY, orders_split, part_split, query, tidy
 
 WIDE_BINNED = ["l_extendedprice", "l_quantity", "price_again"]
 
@@ -84,3 +84,15 @@ def duplicate_columns(spark, sf_dir):
 @query("mutual_information")
 def mutual_information(spark, sf_dir):
     return tidy(dependence.mutual_information(wide_lines(spark, sf_dir), binned=WIDE_BINNED), 5)
+
+
+@query("knn_impute")
+def knn_impute(spark, sf_dir):
+    """Holes in lines filled from the training part; approximate, so without SQL."""
+    lines = lineitem_reg(spark, sf_dir).withColumn("l_returnflag", F.when(
+        F.col("l_partkey") % 17 != 0, F.col("l_returnflag")))
+    split = S.split_rows(lines, 0.2, 42, LINE_KEY)
+    model = neighbours.fit_neighbours(
+        split.part(S.TRAIN), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+        ["l_returnflag", "l_linestatus"])
+    return tidy(neighbours.impute(split.rows, model))
