@@ -31,7 +31,7 @@ LEAF = 65_536
 # Characters on either side of a join that the first window takes; longer than any added token.
 WINDOW = 128
 # Bytes that a worker remembers of words, and characters of texts whose words it learns at once.
-REMEMBERED = 64 << 20
+REMEMBERED = 128 << 20
 LEARNT = 1 << 20
 _WORD = re.compile(r"[^ \t\n\r]+")
 
