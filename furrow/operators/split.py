@@ -211,15 +211,18 @@ def split_rows(df: DataFrame, test_size: float, seed: int, key: Sequence[str] |
     n_test = test_rows(n, test_size)
     quotas = materialize(split_quotas(classes, n, n_test), "quotas")
     needs = quotas.where("quota > 0").select(CLASS, F.col("quota").alias("need"))
-    single = stratify_by is None
+    marked = mark_rows(hashed, needs, n, df.columns, ranked_rows, stratify_by is None)
+    return Split(marked, n, n_test, stratify_by is not None, quotas)
+
+
+def mark_rows(hashed: DataFrame, needs: DataFrame, n: int, names: Sequence[str],
+              ranked_rows: int = RANKED_ROWS, single: bool = False) -> DataFrame:
+    """The columns `names` and the split of rows with class and token: `need` test rows a class."""
     cut = find_cut(hashed.select(CLASS, TOKEN), needs, n, ranked_rows, single)
     if cut.where("need < size").head() is not None:
-        marked = _split_ties(hashed, cut, n, ranked_rows, df.columns, single)
-    else:
-        # A stored table of one row per class: the optimizer knows its size and broadcasts it.
-        marked = _decide(_look_up(hashed, cut, {"_last": F.col("prefix")}, single),
-                         TOKEN, df.columns)
-    return Split(marked, n, n_test, stratify_by is not None, quotas)
+        return _split_ties(hashed, cut, n, ranked_rows, names, single)
+    # A stored table of one row per class: the optimizer knows its size and broadcasts it.
+    return _decide(_look_up(hashed, cut, {"_last": F.col("prefix")}, single), TOKEN, names)
 
 
 def _class_of(target: str | None) -> Column:

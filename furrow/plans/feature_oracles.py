@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from furrow.plans.oracles import ORACLES, ORDER_PARTS, PART_PARTS, r6
+from furrow.functions.text import NULL_MARK
+from furrow.plans.oracles import LINEITEM_REG, ORACLES, ORDER_PARTS, ORDERS_DIRTY, PART_PARTS, r6
 
 
 def _target_encoding(parts: str, columns: dict[str, str], y: str, key: str) -> str:
@@ -106,3 +107,117 @@ informed AS (
 SELECT a, b, {r6('mi', 5)} AS mi, {r6('h_a', 5)} AS h_a, {r6('h_b', 5)} AS h_b,
   {r6('CASE WHEN h_a > 1e-12 AND h_b > 1e-12 THEN mi / sqrt(h_a * h_b) ELSE 0 END', 5)} AS normalized
 FROM informed"""
+
+
+# ---- correlation and components -----------------------------------------------------------------
+
+_RELATED = ["l_quantity", "quantity_again", "l_extendedprice", "l_discount", "discount_again", "l_tax",
+            "l_partkey", "l_suppkey", "nearly_quantity"]
+_RELATED_SQL = """
+related AS (SELECT * REPLACE (CASE WHEN l_orderkey % 9 <> 0 THEN l_quantity END AS l_quantity),
+  l_quantity * -2 + 7 AS quantity_again, l_discount + l_tax / 4 AS discount_again,
+  CASE WHEN l_partkey % 7 <> 0 THEN l_quantity + l_tax END AS nearly_quantity FROM lineitem)"""
+_CORRELATION = f"WITH {_RELATED_SQL}, pairs AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS rows, "
+    f"corr({a}, {b}) AS r FROM related"
+    for i, a in enumerate(_RELATED) for b in _RELATED[i + 1:]) + ")"
+ORACLES["correlation"] = f"{_CORRELATION} SELECT a, b, rows, {r6('r')} AS r FROM pairs WHERE rows > 0"
+ORACLES["high_correlation"] = (
+    f"{_CORRELATION} SELECT a, b, rows, {r6('r')} AS r FROM pairs WHERE abs(r) >= 0.9")
+
+
+def _pca(columns: list[str], steps: int = 400) -> str:
+    """Two components by power steps over the matrix of correlations, the first one taken out."""
+    filled = ", ".join(f"coalesce({c}, (SELECT avg({c}) FROM related)) AS {c}" for c in columns)
+    matrix = "[" + ", ".join(
+        "[" + ", ".join(f"corr({a}, {b})" for b in columns) + "]" for a in columns) + "]"
+    start = "[" + ", ".join(str(1.0 + i / 7) for i in range(len(columns))) + "]::DOUBLE[]"
+
+    def iterate(name: str, source: str) -> str:
+        return f"""
+{name}_steps(step, m, v) AS (
+  SELECT 0, m, {start} FROM {source}
+  UNION ALL
+  SELECT step + 1, m, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (
+    SELECT step, m, list_transform(m, lambda line: list_dot_product(line, v)) AS w
+    FROM {name}_steps) WHERE step < {steps}),
+{name} AS (
+  SELECT m, v, list_dot_product(v, list_transform(m, lambda line: list_dot_product(line, v))) AS value
+  FROM {name}_steps WHERE step = {steps})"""
+
+    names = "[" + ", ".join(f"'{c}'" for c in columns) + "]"
+    rows = " UNION ALL ".join(
+        f"SELECT {k} AS component, unnest({names}) AS \"column\", unnest(list_transform(v, "
+        f"lambda x: x * sign(v[list_position(list_transform(v, lambda y: abs(y)), "
+        f"list_max(list_transform(v, lambda y: abs(y))))]))) AS loading, value FROM {name}"
+        for k, name in ((1, "one"), (2, "two")))
+    return f"""WITH RECURSIVE {_RELATED_SQL},
+filled AS (SELECT {filled} FROM related),
+whole AS (SELECT {matrix} AS m FROM filled),{iterate('one', 'whole')},
+rest AS (SELECT list_transform(m, lambda line, i: list_transform(line,
+  lambda x, j: x - value * v[i] * v[j])) AS m FROM one),{iterate('two', 'rest')}
+SELECT CAST(component AS INTEGER) AS component, "column", {r6('loading')} AS loading,
+  {r6('value')} AS variance, {r6(f'value / {len(columns)}')} AS share FROM ({rows})"""
+
+
+ORACLES["pca"] = _pca(_RELATED[:6])
+
+
+# ---- power transformation -----------------------------------------------------------------------
+
+def _likelihood(column: str, power: float, both_signs: bool) -> str:
+    """Values of one sign are all 0 or more here; without the constant no digits are lost."""
+    size = f"ln(1 + abs({column}))"
+
+    def branch(p: float) -> str:
+        if p == 0:
+            return size
+        return f"(exp({p} * {size}) - 1) / {p}" if both_signs else f"exp({p} * {size}) / {p}"
+
+    y = f"CASE WHEN {column} >= 0 THEN {branch(power)} ELSE -({branch(2 - power)}) END"
+    value = f"-ln(var_pop({y})) / 2 + {power - 1} * avg(sign({column}) * {size})"
+    return (f"SELECT '{column}' AS \"column\", CAST({power} AS DOUBLE) AS exponent, "
+            f"{r6(value)} AS log_likelihood FROM powered")
+
+
+ORACLES["yeo_johnson_likelihood"] = f"""WITH {LINEITEM_REG},
+powered AS (SELECT *, l_extendedprice / 1000 - l_quantity AS balance FROM lineitem_reg)
+""" + " UNION ALL ".join(
+    _likelihood(c, p, c == "balance")
+    for c in ("l_extendedprice", "l_quantity", "l_tax", "balance")
+    for p in (-2.0, -1.0, 0.0, 0.5, 1.0, 2.0, 3.0))
+
+
+# ---- splits by time and group -------------------------------------------------------------------
+
+def _time_split(view: str, time: str, key: list[str], share: float, columns: str) -> str:
+    token = " || '|' || ".join(["'42'", *[f"CAST({c} AS VARCHAR)" for c in key]])
+    return f"""SELECT {columns}, CASE WHEN row_number() OVER (ORDER BY {time} DESC, md5({token}))
+  <= ceil({share} * (SELECT count(*) FROM {view})) THEN 'test' ELSE 'train' END AS split FROM {view}"""
+
+
+ORACLES["split_time"] = "WITH lines AS (SELECT DISTINCT * FROM lineitem) " + _time_split(
+    "lines", "l_shipdate", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 0.2,
+    "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate")
+ORACLES["split_time_events"] = _time_split("events", "ts", ["event_id"], 0.15, "event_id, ts")
+
+
+def _group_split(columns: list[str], share: float, seed: int) -> str:
+    marked = " || ".join(
+        f"'|' || coalesce(length({c}::VARCHAR) + 1 || ':=' || {c}::VARCHAR, '{len(NULL_MARK)}:' "
+        f"|| '{NULL_MARK}')" for c in columns)
+    listed = ", ".join(columns)
+    return f"""WITH {ORDERS_DIRTY},
+tokens AS (SELECT *, md5('{seed}|group' || {marked}) AS token FROM orders_dirty),
+sizes AS (SELECT token, count(*) AS n FROM tokens GROUP BY token),
+running AS (SELECT token, n, sum(n) OVER (ORDER BY token) AS upto,
+  row_number() OVER (ORDER BY token) AS place, count(*) OVER () AS groups,
+  ceil({share} * sum(n) OVER ()) AS wanted FROM sizes),
+ends AS (SELECT token, abs(upto - wanted) AS off, place FROM running WHERE place < groups),
+cut AS (SELECT token FROM ends ORDER BY off, place LIMIT 1)
+SELECT o_orderkey, {listed}, CASE WHEN token <= (SELECT token FROM cut) THEN 'test' ELSE 'train' END
+  AS split FROM tokens"""
+
+
+ORACLES["split_group"] = _group_split(["o_custkey"], 0.2, 42)
+ORACLES["split_group_pairs"] = _group_split(["o_orderstatus", "o_orderpriority"], 0.3, 7)

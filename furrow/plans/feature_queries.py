@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.operators import dependence, neighbours, spellings
+from furrow.operators import dependence, gram, neighbours, ordered_split, power, spellings
 from furrow.operators import split as S
 from furrow.operators import target_encoding as E
-from furrow.plans.dirty import lineitem_reg, table
+from furrow.operators.fit import numeric_facts
+from furrow.plans.dirty import lineitem_reg, orders_dirty, table
 from furrow.plans.queries import LINE_KEY, orders_split, part_split, query, tidy
 
 WIDE_BINNED = ["l_extendedprice", "l_quantity", "price_again"]
@@ -96,3 +97,96 @@ def knn_impute(spark, sf_dir):
         split.part(S.TRAIN), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
         ["l_returnflag", "l_linestatus"])
     return tidy(neighbours.impute(split.rows, model))
+
+
+# ---- correlation and components -----------------------------------------------------------------
+
+RELATED = ["l_quantity", "quantity_again", "l_extendedprice", "l_discount", "discount_again", "l_tax",
+           "l_partkey", "l_suppkey", "nearly_quantity"]
+
+
+def related_lines(spark, sf_dir):
+    """Lines with holes, and columns that follow others closely."""
+    quantity = F.when(F.col("l_orderkey") % 9 != 0, F.col("l_quantity"))
+    return table(spark, sf_dir, "lineitem").withColumns({
+        "l_quantity": quantity, "quantity_again": F.col("l_quantity") * -2 + 7,
+        "discount_again": F.col("l_discount") + F.col("l_tax") / 4,
+        "nearly_quantity": F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity") + F.col("l_tax")),
+    })
+
+
+@query("correlation")
+def correlation(spark, sf_dir):
+    return tidy(gram.correlations(related_lines(spark, sf_dir), RELATED, block=4))
+
+
+@query("high_correlation")
+def high_correlation(spark, sf_dir):
+    return tidy(gram.high_correlations(related_lines(spark, sf_dir), RELATED, 0.9))
+
+
+@query("pca")
+def pca(spark, sf_dir):
+    fitted = gram.fit_components(related_lines(spark, sf_dir), RELATED[:6], 2)
+    return tidy(fitted.table(spark))
+
+
+# ---- power transformation -----------------------------------------------------------------------
+
+POWER_COLUMNS = ["l_extendedprice", "l_quantity", "l_tax", "balance"]
+POWERS = [-2.0, -1.0, 0.0, 0.5, 1.0, 2.0, 3.0]
+
+
+def powered_lines(spark, sf_dir):
+    return lineitem_reg(spark, sf_dir).withColumn(
+        "balance", F.col("l_extendedprice") / 1000 - F.col("l_quantity"))
+
+
+@query("yeo_johnson_likelihood")
+def yeo_johnson_likelihood(spark, sf_dir):
+    """The likelihood of a grid of exponents per row, for columns of one sign and of both."""
+    lines = powered_lines(spark, sf_dir)
+    facts = numeric_facts(lines, POWER_COLUMNS, median=False)
+    found = power.log_likelihoods(lines, dict.fromkeys(POWER_COLUMNS, POWERS), facts)
+    sizes = F.create_map(*[F.lit(x) for c in POWER_COLUMNS for x in (c, facts[c]["present"])])
+    return tidy(found.withColumn("log_likelihood", F.col("log_likelihood") / sizes[F.col("column")]))
+
+
+@query("yeo_johnson")
+def yeo_johnson(spark, sf_dir):
+    """Lines transformed by exponents of the training part; the search has no SQL."""
+    split = S.split_rows(powered_lines(spark, sf_dir), 0.2, 42, LINE_KEY)
+    state = power.fit_yeo_johnson(split.part(S.TRAIN), POWER_COLUMNS)
+    return tidy(power.apply_yeo_johnson(split.rows, state), 3)
+
+
+# ---- splits by time and group -------------------------------------------------------------------
+
+@query("split_time")
+def split_time(spark, sf_dir):
+    """Lines by shipping date; many share the date of the cut."""
+    lines = S.drop_duplicates(table(spark, sf_dir, "lineitem"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return ordered_split.split_time(lines, "l_shipdate", 0.2, 42, key).rows.select(
+        *LINE_KEY, S.SPLIT)
+
+
+@query("split_time_events")
+def split_time_events(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return ordered_split.split_time(events, "ts", 0.15, 42, ["event_id"]).rows.select(
+        "event_id", "ts", S.SPLIT)
+
+
+@query("split_group")
+def split_group(spark, sf_dir):
+    return ordered_split.split_group(orders_dirty(spark, sf_dir), "o_custkey", 0.2).rows.select(
+        "o_orderkey", "o_custkey", S.SPLIT)
+
+
+@query("split_group_pairs")
+def split_group_pairs(spark, sf_dir):
+    """Few groups, of two columns, one with holes: the cut falls far from the quota."""
+    return ordered_split.split_group(orders_dirty(spark, sf_dir), [
+        "o_orderstatus", "o_orderpriority"], 0.3, 7).rows.select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", S.SPLIT)
