@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from furrow.functions.text import NULL_MARK
-from furrow.plans.oracles import LINEITEM_REG, ORACLES, ORDER_PARTS, ORDERS_DIRTY, PART_PARTS, r6
+from furrow.plans.oracles import (
+    LINEITEM_REG, ORACLES, ORDER_PARTS, ORDERS_DIRTY, PART_PARTS, r6, split,
+)
 
 
 def _target_encoding(parts: str, columns: dict[str, str], y: str, key: str) -> str:
@@ -221,3 +223,55 @@ SELECT o_orderkey, {listed}, CASE WHEN token <= (SELECT token FROM cut) THEN 'te
 
 ORACLES["split_group"] = _group_split(["o_custkey"], 0.2, 42)
 ORACLES["split_group_pairs"] = _group_split(["o_orderstatus", "o_orderpriority"], 0.3, 7)
+
+
+# ---- outliers -----------------------------------------------------------------------------------
+
+_SPREAD = ["value", "squared", "tied", "amount"]
+_SPREAD_SQL = """
+holed AS (SELECT * REPLACE (CASE WHEN event_id % 10 <> 0 THEN value END AS value) FROM events),
+spread AS (SELECT event_id, value, value * value AS squared,
+  CAST(floor(value / 10) AS BIGINT) AS tied, CASE WHEN event_id % 41 = 3 THEN value * 100
+  WHEN event_id % 59 = 5 THEN -value ELSE value END AS amount FROM holed)"""
+_FENCES = f"""WITH {_SPREAD_SQL},
+{split('spread', 'CAST(event_id AS VARCHAR)', chr(39) + 'all' + chr(39))},
+fences AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS c, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 "
+    f"FROM parts WHERE split = 'train'" for c in _SPREAD) + """),
+bounds AS (SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high,
+  q1 - 3 * (q3 - q1) AS far_low, q3 + 3 * (q3 - q1) AS far_high FROM fences)"""
+ORACLES["quantiles"] = f"WITH {_SPREAD_SQL} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({s} AS DOUBLE) AS share, "
+    f"{r6(f'CAST(quantile_cont(CAST({c} AS DOUBLE), {s}) AS DOUBLE)')} AS quantile FROM spread"
+    for c in _SPREAD for s in (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0))
+ORACLES["outliers_iqr"] = _FENCES + " UNION ALL ".join(f"""
+SELECT c AS "column", {r6('q1')} AS q1, {r6('q3')} AS q3, {r6('low')} AS low, {r6('high')} AS high,
+  (SELECT count(*) FROM parts WHERE {c} < low OR {c} > high) AS outliers,
+  (SELECT count(*) FROM parts WHERE {c} < far_low OR {c} > far_high) AS extreme
+FROM bounds WHERE c = '{c}'""" for c in _SPREAD)
+
+
+def _outlier_action(action: str) -> str:
+    def bound(name: str, c: str) -> str:
+        return f"(SELECT {name} FROM bounds WHERE c = '{c}')"
+
+    beyond = {c: f"coalesce({c} < {bound('low', c)} OR {c} > {bound('high', c)}, FALSE)"
+              for c in _SPREAD}
+    cells = {c: c if c == "tied" and action != "clip" else r6(c) for c in _SPREAD}
+    more, where = "", ""
+    if action == "flag":
+        more = "".join(f", CAST({b} AS INTEGER) AS {c}__outlier" for c, b in beyond.items())
+    elif action == "clip":
+        cells = {c: r6(f"greatest({bound('low', c)}, least({bound('high', c)}, CAST({c} AS DOUBLE)))")
+                 for c in _SPREAD}
+        cells = {c: f"CASE WHEN {c} IS NOT NULL THEN {x} END" for c, x in cells.items()}
+    elif action == "null":
+        cells = {c: f"CASE WHEN NOT {b} THEN {cells[c]} END" for c, b in beyond.items()}
+    elif action == "drop":
+        where = " WHERE NOT (" + " OR ".join(beyond.values()) + ")"
+    listed = ", ".join(f"{x} AS {c}" for c, x in cells.items())
+    return f"{_FENCES} SELECT event_id, split, {listed}{more} FROM parts{where}"
+
+
+for _action in ("keep", "flag", "clip", "null", "drop"):
+    ORACLES[f"outliers_{_action}"] = _outlier_action(_action)

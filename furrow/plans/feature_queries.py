@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.operators import dependence, gram, neighbours, ordered_split, power, spellings
+from furrow.operators import (
+    dependence, gram, neighbours, ordered_split, outliers, power, spellings,
+)
 from furrow.operators import split as S
 from furrow.operators import target_encoding as E
 from furrow.operators.fit import numeric_facts
-from furrow.plans.dirty import lineitem_reg, orders_dirty, table
+from furrow.plans.dirty import events_holed, lineitem_reg, orders_dirty, table
 from furrow.plans.queries import LINE_KEY, orders_split, part_split, query, tidy
+from furrow.session import small_table
 
 WIDE_BINNED = ["l_extendedprice", "l_quantity", "price_again"]
 
@@ -190,3 +193,49 @@ def split_group_pairs(spark, sf_dir):
     return ordered_split.split_group(orders_dirty(spark, sf_dir), [
         "o_orderstatus", "o_orderpriority"], 0.3, 7).rows.select(
         "o_orderkey", "o_orderstatus", "o_orderpriority", S.SPLIT)
+
+
+# ---- outliers -----------------------------------------------------------------------------------
+
+SPREAD = ["value", "squared", "tied", "amount"]
+
+
+def spread_events(spark, sf_dir):
+    """Events with holes, a column of few values, and amounts with slips of the decimal point."""
+    value, key = F.col("value"), F.col("event_id")
+    return events_holed(spark, sf_dir).select(
+        "event_id", "value", (value * value).alias("squared"),
+        F.floor(value / 10).cast("long").alias("tied"),
+        F.when(key % 41 == 3, value * 100).when(key % 59 == 5, -value).otherwise(
+            value).alias("amount"))
+
+
+@query("quantiles")
+def quantiles(spark, sf_dir):
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
+    found = outliers.exact_quantiles(spread_events(spark, sf_dir), SPREAD, shares)
+    return tidy(small_table(spark, [
+        (c, s, q) for c, line in found.items() for s, q in zip(shares, line)],
+        "column string, share double, quantile double"))
+
+
+def _fitted_spread(spark, sf_dir):
+    split = S.split_rows(spread_events(spark, sf_dir), 0.2, 42, ["event_id"])
+    return split, outliers.fit_outliers(split.part(S.TRAIN), SPREAD)
+
+
+@query("outliers_iqr")
+def outliers_iqr(spark, sf_dir):
+    split, state = _fitted_spread(spark, sf_dir)
+    return tidy(outliers.outlier_report(split.rows, state))
+
+
+def _outlier_action(action):
+    def run(spark, sf_dir):
+        split, state = _fitted_spread(spark, sf_dir)
+        return tidy(outliers.treat_outliers(split.rows, state, dict.fromkeys(SPREAD, action)))
+    return run
+
+
+for _action in outliers.ACTIONS:
+    query(f"outliers_{_action}")(_outlier_action(_action))
