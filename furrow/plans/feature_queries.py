@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.operators import (
-    dependence, gram, neighbours, ordered_split, outliers, power, spellings,
+    chained, dependence, gram, neighbours, ordered_split, outliers, power, spellings,
 )
 from furrow.operators import split as S
 from furrow.operators import target_encoding as E
@@ -134,6 +134,15 @@ def pca(spark, sf_dir):
     return tidy(fitted.table(spark))
 
 
+@query("iterative_impute")
+def iterative_impute(spark, sf_dir):
+    """Holes in related columns filled by models of the training part; compared with a dense version
+    in the tests, so without SQL."""
+    split = S.split_rows(related_lines(spark, sf_dir), 0.2, 42, LINE_KEY)
+    state = chained.fit_chained(split.part(S.TRAIN), RELATED)
+    return tidy(chained.impute_chained(split.rows, state), 4)
+
+
 # ---- power transformation -----------------------------------------------------------------------
 
 POWER_COLUMNS = ["l_extendedprice", "l_quantity", "l_tax", "balance"]
