@@ -613,14 +613,17 @@ ORACLES["parquet_roundtrip"] = f"WITH {ORDERS_DIRTY} SELECT * FROM orders_dirty"
 ORACLES["csv_bom_export"] = """
 SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice
 FROM part"""
+def exact(value: str) -> str:
+    """A value's text after its length; a present one has a mark before it, null is a mark alone."""
+    text = f"coalesce('=' || CAST({value} AS VARCHAR), chr(1))"
+    return f"length({text}) || ':' || {text}"
+
+
 FINGERPRINT = f"""WITH {ORDERS_DIRTY},
-texts AS (SELECT md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR),
-  coalesce(o_orderstatus, chr(1)), coalesce(CAST(CAST(o_totalprice AS DECIMAL(38,6)) AS VARCHAR),
-  chr(1)), CAST(o_orderdate AS VARCHAR), coalesce(o_orderpriority, chr(1)), const_col,
-  coalesce(mostly_missing, chr(1)), num_text)) AS digest FROM orders_dirty),
-fingerprint AS (SELECT count(*) AS rows,
-  CAST(CAST(sum(CAST('0x' || substr(digest, 1, 8) AS BIGINT)) AS HUGEINT) AS VARCHAR)
-  AS fingerprint FROM texts)"""
+texts AS (SELECT md5({" || ".join(map(exact, ORDER_COLUMNS))}) AS digest FROM orders_dirty),
+fingerprint AS (SELECT count(*) AS rows, {" || '-' || ".join(
+    f"CAST(sum(CAST(CAST('0x' || substr(digest, {i}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)"
+    for i in (1, 17))} AS fingerprint FROM texts)"""
 ORACLES["table_fingerprint"] = f"{FINGERPRINT} SELECT rows, fingerprint FROM fingerprint"
 ORACLES["run_manifest"] = f"""{FINGERPRINT}, {ORDER_PARTS.removeprefix(f'WITH {ORDERS_DIRTY},')},
 {PRIORITY}

@@ -206,8 +206,7 @@ def file_sha256(spark, sf_dir):
 
 @query("table_fingerprint")
 def table_fingerprint(spark, sf_dir):
-    return tables.table_fingerprint(orders_dirty(spark, sf_dir)).select(
-        "rows", F.col("fingerprint").cast("string").alias("fingerprint"))
+    return tables.table_fingerprint(orders_dirty(spark, sf_dir))
 
 
 # ---- profiling ---------------------------------------------------------------------------------

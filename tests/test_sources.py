@@ -203,6 +203,18 @@ def test_files_and_tables_have_fingerprints(spark, tmp_path):
     assert tables.table_fingerprint(df.where("id > 0")).head()["fingerprint"] not in prints
 
 
+def test_different_tables_have_different_fingerprints(spark):
+    schema = "a string, b string, x double"
+    rows = [("a|b", "c", 1e-9), ("a", "b|c", 1e-9), ("a|b", "c", 4e-9), ("a|b", None, 1e-9),
+            ("a|b", "\u0001", 1e-9), (None, "a|b", 1e-9), ("a|bc", "", 1e-9), ("a|b", "c", None)]
+    one = [tables.table_fingerprint(spark.createDataFrame([r], schema)).head() for r in rows]
+    assert len({r["fingerprint"] for r in one}) == len(rows)
+    both = tables.table_fingerprint(spark.createDataFrame([rows[0]] * 2, schema)).head()
+    assert both["rows"] == 2 and both["fingerprint"] != one[0]["fingerprint"]
+    none = tables.table_fingerprint(spark.createDataFrame([], schema)).head()
+    assert (none["rows"], none["fingerprint"]) == (0, "0-0")
+
+
 def test_missing_working_table_is_named(spark, tmp_path):
     with pytest.raises(M.PreparationError, match="missing"):
         tables.read_parquet(spark, str(tmp_path / "none"))
