@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,6 +94,11 @@ def whole_row_token(schema: T.StructType, names: Iterable[str]) -> Column:
     return F.md5(F.concat(F.lit(""), *parts).cast("binary"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def quoted(name: str) -> Column:
     """The column with exactly this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
