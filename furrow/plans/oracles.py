@@ -528,8 +528,13 @@ FROM parts, fills, stats"""
 # ---- evaluation --------------------------------------------------------------------------------------------
 
 ORACLES["same_split_check"] = f"""{ORDER_PARTS}
-SELECT split AS part, count(*) > 0 AS compared, CAST(0 AS BIGINT) AS mismatches
-FROM parts GROUP BY split"""
+, both_sides AS (
+  SELECT split, o_orderkey, o_orderstatus, 1 AS sign FROM parts
+  UNION ALL SELECT split, o_orderkey, CASE WHEN o_orderkey % 103 = 2 THEN 'F' ELSE o_orderstatus END, -1
+  FROM parts WHERE o_orderkey % 101 <> 1),
+off AS (SELECT split FROM both_sides GROUP BY split, o_orderkey, o_orderstatus HAVING sum(sign) <> 0)
+SELECT part, TRUE AS compared, (SELECT count(*) FROM off WHERE off.split = part) AS mismatches
+FROM (VALUES ('train'), ('test')) AS names(part)"""
 ORACLES["baseline_features"] = f"""{ORDER_PARTS}, {moments(PRICE)}, {PRIORITY},
 alphabet AS (SELECT value, row_number() OVER (ORDER BY value) AS place FROM priorities),
 filled AS (SELECT split, coalesce(o_totalprice, tp_fill) AS price, coalesce(trim(o_orderpriority),

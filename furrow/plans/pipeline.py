@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow import model as M
-from furrow.functions.text import quoted, strict_double
+from furrow.functions.text import quoted, strict_double, whole_row_token
 from furrow.operators import split as S
 from furrow.operators.fit import FittedState, fit, select_features
 from furrow.operators.transform import output_schema, transform, unknown_counts
 from furrow.session import materialize
 
+ROW = "_row"
+
 
 @dataclass
 class PreparationRun:
@@ -31,6 +33,9 @@ class PreparationRun:
     stratified: bool = False
     frames: dict[str, DataFrame] = field(default_factory=dict)
     split: S.Split | None = None
+    # Train and test as in `frames`, led by a token of the row that each row was made from.
+    tokened: dict[str, DataFrame] = field(default_factory=dict)
+    key: list[str] = field(default_factory=list)
 
     def __getattr__(self, name: str) -> DataFrame:
         frames = self.__dict__.get("frames", {})
@@ -84,22 +89,31 @@ def run_supervised(df: DataFrame, roles: Mapping[str, str], task: str,
     _check_split(eligible, classes, target, task, config)
     split = S.split_rows(eligible, config.test_size, config.random_seed, key, stratify,
                          classes=classes if by_target == (stratify is not None) else None)
+    # Every later pass reads one part, some columns of it, and no longer hashes and looks up.
+    split.rows = materialize(split.rows, "split", S.SPLIT)
     raw_train, raw_test = split.part(S.TRAIN), split.part(S.TEST)
     numeric = [c for c in features if roles[c] in M.NUMERIC_ROLES]
     _check_numbers(eligible, numeric)
     state = fit(raw_train, roles, features, indicators, config)
     outputs = output_schema(state, target)
+    names = list(key or df.columns)
+    tokened = {part: transform(with_row_token(raw, names), state, target, keep=[ROW])
+               for part, raw in (("train", raw_train), ("test", raw_test))}
     return PreparationRun(
         task, config, dict(roles), features, outputs[:-1], state, target, stratify is not None,
         {
-            "train": transform(raw_train, state, target),
-            "test": transform(raw_test, state, target),
+            **{part: df.drop(ROW) for part, df in tokened.items()},
             "raw_train": raw_train, "raw_test": raw_test, "target_missing": missing,
         },
-        split,
+        split, tokened, names,
     )
 
 
+def with_row_token(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """`df` with a token over the exact values of the key."""
+    return df.withColumn(ROW, whole_row_token(df.schema, key))
+
+
 def run_cleaning(df: DataFrame, roles: Mapping[str, str],
                  config: M.PipelineConfig | None = None,
                  enabled: Iterable[tuple[str | None, str]] = ()) -> PreparationRun:

@@ -619,7 +619,10 @@ def same_split_check(spark, sf_dir):
     parts = []
     for part in (S.TRAIN, S.TEST):
         raw = run.split.part(part)
-        processed = X.transform(raw, run.state, run.target, keep=["o_orderkey"])
+        # Some rows are lost and some get another target on the way.
+        key, target = F.col("o_orderkey"), F.col(run.target)
+        processed = X.transform(raw, run.state, run.target, keep=["o_orderkey"]).where(
+            key % 101 != 1).withColumn(run.target, F.when(key % 103 == 2, "F").otherwise(target))
         off = evaluate.same_split_check(raw, processed, ["o_orderkey", run.target])
         parts.append(off.agg(F.count(F.lit(1)).alias("mismatches")).select(
             F.lit(part).alias("part"), F.lit(True).alias("compared"), "mismatches"))

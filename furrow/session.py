@@ -77,15 +77,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/furrow/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write `df` as a parquet table in the shared folder and read it back.
 
     Used where several later jobs read the same shuffled result: the table is columnar, so each
     reader prunes to its own columns, its size is known to the optimizer, and the loss of an
-    executor costs no recomputation.
+    executor costs no recomputation. `partition_by` names a last column of few values; who asks for
+    one of them reads its files only.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

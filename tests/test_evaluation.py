@@ -1,8 +1,10 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
 
 from furrow import model as M
 from furrow.operators import evaluate as E
@@ -80,6 +82,15 @@ def test_same_split(classified, spark):
     assert E.same_split_check(raw, swapped, ["row_id", "target"]).count() == 48
 
 
+def test_other_rows_with_the_same_targets_are_refused(classified):
+    other = classified.tokened["train"].withColumn(
+        P.ROW, F.when(F.col(P.ROW) == F.lit(classified.tokened["train"].agg(
+            F.min(P.ROW)).head()[0]), "another").otherwise(F.col(P.ROW)))
+    changed = replace(classified, tokened={**classified.tokened, "train": other})
+    with pytest.raises(M.PreparationError, match="train parts .* differ"):
+        evaluation.evaluate_run(changed)
+
+
 def vectors(spark, x, y):
     rows = [(*map(float, row), float(t)) for row, t in zip(x, y)]
     names = [f"x{i}" for i in range(x.shape[1])]
