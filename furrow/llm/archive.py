@@ -79,11 +79,19 @@ def arc_records(content: bytes) -> Iterator[dict]:
     first = stream.readline()
     if not first:
         return
+    if not first.startswith(b"filedesc://"):
+        raise ValueError(f"no ARC file begins with {first[:40]!r}")
     block = taken(stream, int(first.rsplit(b" ", 1)[1]), "version block")
     version = int(block.split(b" ", 1)[0])
     if version not in ARC_FIELDS:
         raise ValueError(f"unknown ARC version {version}")
-    fields, number = ARC_FIELDS[version], 0
+    # The second line of the block names the fields of the file's own headers.
+    declared = block.split(b"\n")[1:2]
+    fields = declared[0].decode("utf-8", "replace").split() if declared else []
+    fields, number = fields or ARC_FIELDS[version], 0
+    lost = set(ARC_FIELDS[1]) - set(fields)
+    if lost or fields[0] != "URL":
+        raise ValueError(f"headers declared without {sorted(lost) or 'the URL in front'}")
     while line := stream.readline():
         if not line.strip():
             continue
@@ -141,7 +149,8 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(
+    """All files below a folder, whatever their names; Spark leaves out those that begin with _ or a dot."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
         "path", "content")
 
 
@@ -153,10 +162,13 @@ ARC_SCHEMA = ("record_id string, url string, ip string, date string, mime string
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """The records of ARC files, with what their WARC counterparts need.
 
-    A record id is made from file and place, so equal records stay apart and reruns agree. A
-    header that does not fit its version, or fewer bytes than declared, stops the read.
+    Every file below the folder is read, whatever its name. A record id is made from the file's path
+    below the folder and the place in it, so equal records stay apart and reruns agree. A file that
+    is no ARC file, a header that does not fit the declared fields, or fewer bytes than declared,
+    stops the read; an empty file has no records.
     """
     ship_package(spark)
+    folder = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", path).rstrip("/") + "/"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -169,14 +181,16 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 rows, size = [], 0
-                place = re.search(r"part-(\d+)", name)
+                place = name.split(folder, 1)[-1]
+                # A writer's own files are named anew by every run, but for their number.
+                numbered = re.match(r"part-(\d+)-[0-9a-f-]{36}", place)
                 for record in arc_records(content.as_py()):
                     head, payload = split_http(record["content"])
                     found = re.search(rb"\r\n" + PAGE_HEADER.encode() + rb": *(-?\d+)\r\n", head)
                     stamp = record["Archive-date"].ljust(14, "0")
                     rows.append({
                         "record_id": str(uuid.uuid5(uuid.NAMESPACE_URL, "{}/{}/{}".format(
-                            place[1] if place else name, record["number"], record["URL"]))),
+                            numbered[1] if numbered else place, record["number"], record["URL"]))),
                         "url": record["URL"], "ip": record["IP-address"],
                         "date": "{}-{}-{}T{}:{}:{}Z".format(
                             stamp[:4], *(stamp[k:k + 2] for k in range(4, 14, 2))),
