@@ -30,7 +30,19 @@ def canonical_line(line: Column) -> Column:
     An owner statement is cut up to the words that begin a known text or notice, if some follow in
     its line, else the whole line is the statement.
     """
-    lowered = F.regexp_replace(F.lower(line), rf"{OWNER}[^\n]{{0,300}}?(?=\b{OPENINGS})", " ")
+    return let(F.lower(line), lambda lowered: let(_without_owners(lowered), _plain_line))
+
+
+def _without_owners(lowered: Column) -> Column:
+    """The line in pieces that begin with an opening; all pieces but the last lose their owner to the end."""
+    pieces = F.split(lowered, rf"(?=\b{OPENINGS})")
+    cut = let(pieces, lambda p: F.array_join(F.transform(p, lambda piece, i: F.when(
+        i < F.size(p) - 1, F.regexp_replace(piece, rf"{OWNER}[^\n]*$", " ")).otherwise(piece)), ""))
+    named = lowered.contains("copyright") | lowered.contains("(c)") | lowered.contains("©")
+    return F.when(named, cut).otherwise(lowered)
+
+
+def _plain_line(lowered: Column) -> Column:
     words = F.concat(F.lit(" "), F.regexp_replace(lowered, SEPARATORS, " "), F.lit(" "))
     for variant, standard in SPELLINGS:
         words = F.replace(words, F.lit(f" {variant} "), F.lit(f" {standard} "))

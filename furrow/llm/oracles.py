@@ -1,7 +1,7 @@
 """SQL for the queries that SQL can express."""
 
 from furrow.llm.license_texts import NOTICES, SPELLINGS, TEXTS
-from furrow.llm.licenses import COPYRIGHT_LINE, SEPARATORS
+from furrow.llm.licenses import COPYRIGHT_LINE, LIST_ITEM, OPENINGS, OWNER, SEPARATORS
 from furrow.llm.rules import STOP_WORDS
 
 ORACLES: dict[str, str] = {}
@@ -124,11 +124,20 @@ def _quoted(text: str) -> str:
 
 
 def _canonical_sql(line: str) -> str:
-    words = f"' ' || regexp_replace(lower({line}), '{SEPARATORS}', ' ', 'g') || ' '"
+    words = f"' ' || regexp_replace({line}, '{SEPARATORS}', ' ', 'g') || ' '"
     for variant, standard in SPELLINGS:
         words = f"replace({words}, ' {variant} ', ' {standard} ')"
-    return (f"CASE WHEN regexp_matches(lower({line}), '{COPYRIGHT_LINE}') THEN '' "
-            f"ELSE trim({words}) END")
+    return (f"CASE WHEN regexp_matches({line}, '{COPYRIGHT_LINE}') "
+            f"AND NOT regexp_matches({line}, '{LIST_ITEM}') THEN '' ELSE trim({words}) END")
+
+
+# A mark before every opening cuts the line; the cut takes the rest of its piece, so what a pattern
+# only looks at may be taken with it.
+_OWNER_SQL = OWNER.replace("(?=", "(")
+_PIECES_SQL = (f"string_split(regexp_replace(lower(line), '\\b{OPENINGS}', chr(57344) || '\\1', 'g'), "
+               "chr(57344))")
+_OWNERLESS_SQL = (f"array_to_string([regexp_replace(x, '{_OWNER_SQL}[^\\n]*$', ' ') "
+                  "FOR x IN p[:-2]], '') || p[-1]")
 
 
 def _values(pairs) -> str:
@@ -145,8 +154,10 @@ WITH texts AS (
   FROM (VALUES {_values(NOTICES)}) AS v(column0, column1)),
 lines AS (
   SELECT r, k, {_canonical_sql("line")} AS c FROM (
-    SELECT r, unnest(string_split(t, chr(10))) AS line,
-           unnest(range(len(string_split(t, chr(10))))) AS k FROM texts)),
+    SELECT r, k, {_OWNERLESS_SQL} AS line FROM (
+      SELECT r, k, {_PIECES_SQL} AS p FROM (
+        SELECT r, unnest(string_split(t, chr(10))) AS line,
+               unnest(range(len(string_split(t, chr(10))))) AS k FROM texts)))),
 wholes AS (
   SELECT kind, r, doc_id, license_id, sha256(coalesce(whole, '')) AS digest
   FROM texts LEFT JOIN (
