@@ -172,3 +172,13 @@ ORACLES["binning"] = f"""{SCALED}
 SELECT event_id, {_bins('value', [f'vlow + (vhigh - vlow) * {i} / 5' for i in range(1, 5)])},
   {_bins('user_number', [f'ulow + (uhigh - ulow) * {i} / 3' for i in range(1, 3)])},
   {_bins('squared', ['s1', 'sm', 's3'])}, split FROM parts, facts"""
+
+# ---- streams ----------------------------------------------------------------------------------------
+
+ORACLES["stream_profile"] = """
+WITH holed AS (SELECT * REPLACE (CASE WHEN event_id % 10 <> 0 THEN value END AS value) FROM events)
+""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing, "
+    f"{r6(f'min({x})')} AS low, {r6(f'max({x})')} AS high FROM holed"
+    for c, x in (("event_id", "event_id"), ("user_id", "user_id"),
+                 ("event_type", "CAST(NULL AS DOUBLE)"), ("value", "value")))

@@ -9,6 +9,8 @@ from furrow.operators import categories, checks, derive, fit
 from furrow.operators import split as S
 from furrow.plans.dirty import events_holed, lineitem_reg, orders_dirty, table
 from furrow.plans.queries import LINE_KEY, orders_split, part_split, query, tidy
+from furrow.session import new_path
+from furrow.streaming import profile as stream
 
 RULES = [
     checks.Rule("status given", checks.NOT_NULL, ["o_orderstatus"]),
@@ -213,3 +215,18 @@ def log_transform(spark, sf_dir):
 def binning(spark, sf_dir):
     split, state = _scaled(spark, sf_dir)
     return derive.bin_numbers(split.rows, state)
+
+
+# ---- streams ----------------------------------------------------------------------------------------
+
+@query("stream_profile")
+def stream_profile(spark, sf_dir):
+    """Events in five files, some of them twice, one file a batch; the watermark spans all of them."""
+    events = events_holed(spark, sf_dir)
+    source, parts, marks = (new_path(spark, x) for x in ("source", "profile", "marks"))
+    events.unionByName(events.where("event_id % 20 = 0")).repartition(5).write.parquet(source)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(source)
+    columns = ["event_id", "user_id", "event_type", "value"]
+    stream.profile_stream(arriving, columns, parts, marks, "event_id", "ts",
+                          "36500 days").awaitTermination()
+    return tidy(stream.stream_profile(spark, parts).drop("about_distinct"))
