@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,62 @@ def test_mutual_information_against_loops(spark):
         assert r.mi == pytest.approx(max(mi, 0), abs=1e-9)
     assert found[("a", "same")].normalized == pytest.approx(1)
     assert found[("a", "one")].normalized == 0 and found[("a", "h")].normalized == pytest.approx(1)
+
+
+def entropies(rows, names):
+    """Entropy of every column and pair of columns, by loops."""
+    def of(*places):
+        n = Counter(tuple(r[i] for i in places) for r in rows).values()
+        return math.log(len(rows)) - sum(k * math.log(k) for k in n) / len(rows)
+
+    places = range(len(names))
+    return {(names[i], names[j]): (of(i), of(j), of(i, j))
+            for i, j in itertools.combinations(places, 2)}
+
+
+@pytest.mark.parametrize("task", [100, 100_000])
+def test_mutual_information_of_wide_columns(spark, monkeypatch, task):
+    """Keys, digests, frequent values, nulls and equal columns, counted by tasks of few and many rows."""
+    monkeypatch.setattr(dependence, "ROWS_A_TASK", task)
+    monkeypatch.setattr(dependence, "LISTED", 600)
+    monkeypatch.setattr(dependence, "FEW_CELLS", 100)
+    draw = random.Random(9)
+    rows = []
+    for k in range(3_000):
+        key = draw.choice([None, 7, draw.randrange(10 ** 15), draw.randrange(-1_500, 1_500)])
+        text = "often" if draw.random() < 0.4 else f"t{draw.randrange(1_400)}"
+        rows.append((key, text, key, draw.randrange(500), draw.choice("ab"), 2 ** 62 * (k % 3 - 1),
+                     bool(k % 2), k // 2, 5))
+    names = ["key", "text", "again", "some", "few", "far", "flag", "half", "one"]
+    df = spark.createDataFrame(rows, "key long, text string, again long, some int, few string, "
+                                     "far long, flag boolean, half int, one int")
+    found = {(r.a, r.b): r for r in dependence.mutual_information(df, pairs_a_pass=7).collect()}
+    want = entropies(rows, names)
+    assert set(found) == set(want)
+    for pair, (a, b, both) in want.items():
+        r = found[pair]
+        assert (r.h_a, r.h_b, r.mi) == pytest.approx((a, b, max(a + b - both, 0)), abs=1e-9), pair
+    empty = dependence.mutual_information(df.where("false"))
+    assert empty.count() == 0 and empty.columns == ["a", "b", "mi", "h_a", "h_b", "normalized"]
+
+
+def test_mutual_information_moves_rows_once_per_key(spark):
+    """Two columns of keys beside ten of few values: not a row per pair of columns."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def written():
+        found, at = {}, files.getAllFiles().iterator()
+        while at.hasNext():
+            f = at.next()
+            if f.getName().startswith("shuffle_"):
+                found[f.getName()] = f.length()
+        return found
+
+    df = spark.range(40_000).select(
+        F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"),
+        *[F.pmod(F.hash("id", F.lit(i)), F.lit(5 + i)).alias(f"c{i}") for i in range(10)])
+    before = written()
+    assert dependence.mutual_information(df).count() == 66
+    moved = sum(n for name, n in written().items() if name not in before)
+    # 23 pairs of columns hold a key, 40,000 rows and more than 8 bytes each: over 7 MB as pairs.
+    assert moved < 3_500_000
