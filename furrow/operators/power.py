@@ -1,24 +1,27 @@
 """Yeo-Johnson transformation: the exponent of greatest likelihood, learned from training rows.
 
 A pass over the rows gives the log-likelihood of a whole grid of exponents for many columns at once;
-the next grid lies between the neighbours of the best one. A pass shuffles one row per column,
-exponent and task. All further rows are transformed by a projection with the stored exponents.
+the next grid lies between the neighbours of the best one. Tasks work on batches of rows as arrays and
+hand on one row per column and exponent. All further rows are transformed by a projection with the
+stored exponents.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow import model as M
 from furrow.functions.text import finite_double, quoted
 from furrow.operators.fit import numeric_facts
-from furrow.session import materialize, small_table
+from furrow.session import materialize, ship_package, small_table
 
 LOW, HIGH = -5.0, 5.0
 GRID = 21
@@ -40,14 +43,75 @@ def yeo_johnson(x: Column, exponent: float) -> Column:
     return F.when(x >= 0, branch(x, exponent)).otherwise(-branch(-x, 2.0 - exponent))
 
 
-def _scaled(x: Column, power: Column, shift: Column, one_sided: Column) -> Column:
-    """The size of the transformed value; for columns of one sign, and powers from BARE on, less its
-    constant and divided by exp(power * shift)."""
-    logs = F.log1p(F.abs(x))
-    bare = F.exp(power * (logs - shift)) / power
-    whole = F.expm1(power * logs) / power
-    return F.when(F.abs(power) < NEAR, logs).when(
-        one_sided & (F.abs(power) >= BARE), bare).otherwise(whole)
+def _scaled(logs: np.ndarray, power: float, shift: float, one_sided: bool) -> np.ndarray:
+    """The size of the transformed values of these logarithms; for columns of one sign, and powers from
+    BARE on, less its constant and divided by exp(power * shift)."""
+    if abs(power) < NEAR:
+        return logs
+    if one_sided and abs(power) >= BARE:
+        return np.exp(power * (logs - shift)) / power
+    return np.expm1(power * logs) / power
+
+
+def _spread(y: np.ndarray) -> tuple[int, float, float]:
+    """Count, mean, and sum of squares about the mean; the latter is 0 if all are equal."""
+    apart = y - y[0]
+    middle = apart.mean()
+    return len(y), float(y[0] + middle), float(np.square(apart - middle).sum())
+
+
+def _together(a: tuple[int, float, float], b: tuple[int, float, float]) -> tuple[int, float, float]:
+    """The same of both sets of values."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * b[0] / n, a[2] + b[2] + apart * apart * a[0] * b[0] / n
+
+
+def _spreads(df: DataFrame, grids: Mapping[str, Sequence[float]], shifts: Mapping[str, float],
+             one_sided: Mapping[str, bool]) -> DataFrame:
+    """(column, exponent, n, variance) of the transformed present values."""
+    ship_package(df.sparkSession)
+    types = {f.name: f.dataType for f in df.schema}
+    names = list(grids)
+    grids = {c: [float(e) for e in grids[c]] for c in names}
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, float], tuple[int, float, float]] = {}
+        for batch in batches:
+            for i, c in enumerate(names):
+                x = batch.column(i).drop_null().to_numpy()
+                if not len(x):
+                    continue
+                up, down = np.log1p(x[x >= 0]), np.log1p(-x[x < 0])
+                for e in grids[c]:
+                    # Strong powers of far values leave the range of doubles.
+                    with np.errstate(all="ignore"):
+                        own = _spread(np.concatenate([
+                            _scaled(up, e, shifts[c], one_sided[c]),
+                            -_scaled(down, 2.0 - e, shifts[c], one_sided[c])]))
+                        found[c, e] = _together(found[c, e], own) if (c, e) in found else own
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([c for c, _ in found], pa.string()), pa.array([e for _, e in found], pa.float64()),
+             *[pa.array([v[k] for v in found.values()], kind)
+               for k, kind in enumerate((pa.int64(), pa.float64(), pa.float64()))]],
+            ["column", "exponent", "n", "mean", "squares"])
+
+    numbers = df.select(*[finite_double(quoted(c), types[c]).alias(f"x{i}")
+                          for i, c in enumerate(names)])
+    sums = numbers.mapInArrow(
+        add_up, "column string, exponent double, n long, mean double, squares double")
+
+    def merged(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.when(a["n"] == 0, b).otherwise(F.struct(
+            n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"),
+            (a["squares"] + b["squares"] + apart * apart * a["n"] * b["n"] / n).alias("squares")))
+
+    # One entry per task.
+    entries = F.collect_list(F.struct("n", "mean", "squares"))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"),
+                    F.lit(0.0).alias("squares"))
+    return sums.groupBy("column", "exponent").agg(F.aggregate(entries, none, merged).alias("s")).select(
+        "column", "exponent", "s.n", (F.col("s.squares") / F.col("s.n")).alias("variance"))
 
 
 def log_likelihoods(df: DataFrame, exponents: Mapping[str, Sequence[float]],
@@ -60,25 +124,10 @@ def log_likelihoods(df: DataFrame, exponents: Mapping[str, Sequence[float]],
     `numeric_facts`, `logs` their `mean_logs` where the caller has them.
     """
     spark = df.sparkSession
-    types = {f.name: f.dataType for f in df.schema}
     names = list(exponents)
     shifts = logs or mean_logs(df, names)
-    result = None
-    for start in range(0, len(names), COLUMNS_PER_PASS):
-        chunk = names[start:start + COLUMNS_PER_PASS]
-        cells = F.array(*[F.struct(
-            F.lit(c).alias("column"), finite_double(quoted(c), types[c]).alias("x"),
-            F.lit(float(shifts[c][0])).alias("shift"),
-            F.lit(facts[c]["low"] >= 0 or facts[c]["high"] <= 0).alias("one"),
-            F.array(*[F.lit(float(e)) for e in exponents[c]]).alias("grid")) for c in chunk])
-        rows = df.select(F.inline(cells)).where("x IS NOT NULL").select(
-            "column", "x", "shift", "one", F.explode("grid").alias("exponent"))
-        power = F.when(F.col("x") >= 0, F.col("exponent")).otherwise(2.0 - F.col("exponent"))
-        sign = F.when(F.col("x") >= 0, 1.0).otherwise(-1.0)
-        y = _scaled(F.col("x"), power, F.col("shift"), F.col("one")) * sign
-        part = rows.groupBy("column", "exponent").agg(
-            F.count("*").alias("n"), F.var_pop(y).alias("variance"))
-        result = part if result is None else result.unionAll(part)
+    result = _spreads(df, exponents, {c: float(shifts[c][0]) for c in names},
+                      {c: facts[c]["low"] >= 0 or facts[c]["high"] <= 0 for c in names})
     # One row per column.
     known = small_table(spark, [
         (c, float(shifts[c][0]), float(shifts[c][1]), facts[c]["low"] >= 0, facts[c]["high"] <= 0)

@@ -98,3 +98,22 @@ def test_columns_without_spread(spark):
     assert numeric_facts(df, ["text"], median=False)["text"]["rejected"] == 1
     with pytest.raises(M.PreparationError):
         power.fit_yeo_johnson(df, ["same"], low=1.0, high=1.0)
+
+
+def test_rows_are_not_multiplied(spark):
+    """A pass works on columns as arrays, in tasks of any number of rows, not on a row per exponent."""
+    draw = np.random.default_rng(1)
+    x = np.concatenate([1e6 + draw.random(400), [1e6] * 30])
+    df = spark.createDataFrame([(float(v), 3.0, float(v) - 1e6 - 0.5) for v in x],
+                               "far double, same double, both double").repartition(7)
+    df = df.unionAll(spark.createDataFrame([(None, None, float("nan"))], df.schema))
+    facts = numeric_facts(df, df.columns, median=False)
+    found = power.log_likelihoods(df, dict.fromkeys(df.columns, [-4.0, 0.0, 2.0]), facts)
+    assert "explode(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r.column, r.exponent): r.log_likelihood for r in found.collect()}
+    assert len(rows) == 9 and {rows["same", e] for e in (-4.0, 0.0, 2.0)} == {None}
+    for name, values in (("far", x), ("both", x - 1e6 - 0.5)):
+        for e in (-4.0, 0.0, 2.0):
+            if (name, e) != ("far", -4.0):
+                assert rows[name, e] == pytest.approx(likelihood(values, e), rel=1e-6), (name, e)
+    assert power.log_likelihoods(df.where("false"), {"far": [1.0]}, facts).count() == 0
