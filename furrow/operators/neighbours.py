@@ -1,25 +1,28 @@
-"""Missing values from the nearest rows, found through random projections.
+"""Missing values from the nearest rows, found through cells of a tree.
 
 A row's coordinates are its numbers, divided by their deviation, and its categories, which are one
 apart if they differ. A row with holes is compared by the coordinates it has, its pattern, with the
-rows that have these and the one to be filled (its donors). For every pattern that occurs the donors
-are put into buckets by their projections on random directions, cut into steps, in which the
-pattern's coordinates alone take part. Several such tables are kept. A row looks into its own bucket
-of each table and into those behind the nearer border of every direction. Buckets with too many
-donors are split by further directions, in as many rounds as it takes; equal donors, which no
-direction tells apart, are one donor, and equal rows with holes are one question. Questions that
-find too few donors are asked again in tables of wider steps.
-
-Only those that meet in a bucket are compared: a join on equality, after which each task keeps its
-k best per question before anything is shuffled. The index has a row per donor, pattern and table;
-patterns are worked on some at a time.
+rows that have these and the one to be filled (its donors). Equal donors are one donor, and equal rows
+with holes are one question.
+
+A tree cuts the space of all coordinates into cells, again and again at the median of the coordinate
+that keeps rows furthest apart, those that rows with holes often lack counting less. Its cuts come from
+a sample of at most SAMPLE donors, taken by their digests; every donor is put into its cell, and cells
+that turn out too large are cut further. One set of cells serves all patterns. A question meets the
+donors of its own cell first, which gives a distance that its neighbours cannot exceed; then it visits
+every cell that is not further away, measured by the coordinates of its pattern, so that what it finds
+is exact, unless there are more such cells than it may visit: then it visits the nearest of them. A
+question that finds too few donors asks again in more cells.
+
+Rows and questions meet where both are dealt out by cell and sorted; a task holds one cell's donors and
+a batch of questions, compares them as arrays and hands on no donor beyond the known distance.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +35,17 @@ from furrow.functions.text import exact_text, finite_double, normalize_category,
 from furrow.operators.fit import category_counts, vocabulary
 from furrow.session import materialize, ship_package
 
-NEIGHBOURS, TABLES = 5, 4
-# Donors that a bucket holds on average, and with how many it is split.
-BUCKET, LARGE_BUCKET = 32, 256
-# Directions kept for splitting, and how much wider the steps get for rows that found too few.
-MORE, WIDER = 12, (1.0, 4.0, 16.0)
-# Patterns whose tables are stored together.
-PATTERNS = 8
-# How near to a border, in steps, a place has to be to look behind it when a bucket was split.
-NEAR = 0.1
-# Nats that one direction of unit steps tells of a normal distribution.
-NATS = 1.4
+NEIGHBOURS = 5
+# Cells that a question may visit, and how many times more if it finds too few donors.
+TABLES, MORE = 64, (1, 16)
+# Donors that a cell holds on average, and from how many on it is cut further.
+BUCKET, LARGE_BUCKET = 512, 2_048
+# Donors of which the tree is made, and how often its large cells are cut further.
+SAMPLE, ROUNDS = 400_000, 4
+# Categories of a column that cells can tell apart; the rest lie in one place.
+LISTED = 1_000
+# Distances computed at once, and donors that one task holds by and by.
+AT_ONCE, DONORS_A_TASK = 1 << 21, 200_000
 SEED = 42
 
 
@@ -67,13 +70,52 @@ class Coordinates:
 
 
 @dataclass
-class Tables:
-    """Donors by bucket for steps of one width."""
+class Cells:
+    """A tree of cuts: the axis of every node (-1 for a cell), its cut, its first child, its box.
 
-    width: float
-    directions: int
-    index: DataFrame
-    split: list[DataFrame]
+    Places beyond the cut lie in the second child, the one after the first. `listed` are the categories
+    of each categorical column in the order in which they lie on its axis.
+    """
+
+    listed: list[list[str]]
+    axis: np.ndarray
+    cut: np.ndarray
+    child: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def of(self, z: np.ndarray) -> np.ndarray:
+        """The cells of places."""
+        node = np.zeros(len(z), np.int64)
+        while (inner := np.flatnonzero(self.axis[node] >= 0)).size:
+            at = node[inner]
+            node[inner] = self.child[at] + (z[inner, self.axis[at]] > self.cut[at])
+        return node
+
+    def apart(self, z: np.ndarray, has: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Squared distances of places to boxes that no row inside falls below, by the axes in `has`."""
+        off = np.maximum(np.maximum(self.low[node] - z, z - self.high[node]), 0.0)
+        numbers = z.shape[1] - len(self.listed)
+        off[:, numbers:] = off[:, numbers:] > 0
+        return (np.square(off) * has).sum(axis=1)
+
+    def near(self, z: np.ndarray, has: np.ndarray, limit: np.ndarray,
+             most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, cell): per place the cells up to the squared distance `limit`, `most` at most."""
+        limit = limit * (1 + 1e-9) + 1e-9
+        row, node = np.arange(len(z)), np.zeros(len(z), np.int64)
+        while (inner := self.axis[node] >= 0).any():
+            first = self.child[node[inner]]
+            row = np.concatenate([row[~inner], row[inner], row[inner]])
+            node = np.concatenate([node[~inner], first, first + 1])
+            off = self.apart(z[row], has[row], node)
+            order = np.lexsort((node, off, row))
+            order = order[off[order] <= limit[row[order]]]
+            row, node = row[order], node[order]
+            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])[:len(row)])
+            rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+            row, node = row[rank < most], node[rank < most]
+        return row, node
 
 
 @dataclass
@@ -88,7 +130,7 @@ class NeighbourModel:
     bucket: int
     large_bucket: int
     seed: int
-    built: dict[tuple, Tables] = field(default_factory=dict)
+    cells: Cells | None = None
 
 
 # ---- learning -----------------------------------------------------------------------------------
@@ -96,7 +138,8 @@ class NeighbourModel:
 def fit_neighbours(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
                    k: int = NEIGHBOURS, tables: int = TABLES, bucket: int = BUCKET,
                    large_bucket: int = LARGE_BUCKET, seed: int = SEED) -> NeighbourModel:
-    """Donors and scales out of the training rows.
+    """Donors, scales and cells out of the training rows. Questions visit up to `tables` cells; a cell
+    has `bucket` donors on average and is cut further if it has more than `large_bucket`.
 
     Infinite numbers, NaN and text that is no number count as missing. Columns of one value have
     the deviation 1. A row without any value is no donor.
@@ -124,216 +167,283 @@ def fit_neighbours(train: DataFrame, numeric: Sequence[str], categorical: Sequen
                                          .isNotNull()).distinct()
     donors = materialize(donors.withColumn("donor", F.xxhash64(*[
         exact_text(F.col(f.name), f.dataType) for f in donors.schema])), "neighbours-donors")
-    return NeighbourModel(coordinates, donors, donors.count(), k, tables, bucket, large_bucket, seed)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """Well-spread 64-bit numbers out of others."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
-
+    model = NeighbourModel(coordinates, donors, donors.count(), k, tables, bucket, large_bucket, seed)
+    model.cells = _cells(model)
+    return model
 
-def _places(model: NeighbourModel, x: np.ndarray, digests: np.ndarray, pattern: int, table: int,
-            count: int, width: float) -> np.ndarray:
-    """Where rows stand on each direction, in steps, by the coordinates of the pattern.
 
-    `x` are scaled numbers, `digests` the categories' 64-bit digests.
-    """
-    numbers, size = x.shape[1], x.shape[1] + digests.shape[1]
-    draw = np.random.default_rng([model.seed, pattern, table, int(width * 16)])
-    own = np.array([pattern >> i & 1 for i in range(size)])
-    weights = draw.standard_normal((size, count)) * own[:, None] / (width * math.sqrt(own.sum()))
-    # Crowded buckets are split by shorter steps: their rows lie close together.
-    weights[:, count - MORE:] *= 3
-    offsets = draw.random(count)
-    salts = draw.integers(1, 1 << 62, (size, count)).astype(np.uint64)
-    places = x @ weights[:numbers] + offsets
-    for i in range(digests.shape[1]):
-        drawn = _mixed(digests[:, i:i + 1].astype(np.uint64) + salts[numbers + i])
-        places += (drawn.astype(np.float64) / 2.0 ** 63 - 1) * math.sqrt(1.5) * weights[numbers + i]
-    return places
-
-
-def _keys(pattern: int, table: int, steps: np.ndarray) -> np.ndarray:
-    """One bucket number per row of steps."""
-    key = _mixed(np.full(len(steps), pattern * 1_000 + table + 1, dtype=np.uint64))
-    for step in steps.T:
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + step.astype(np.int64).view(np.uint64))
-    return key.view(np.int64)
-
-
-def _matrices(batch: pa.RecordBatch, c: Coordinates) -> tuple[np.ndarray, np.ndarray]:
-    def of(name: str, kind: type, width: int) -> np.ndarray:
-        flat = batch.column(name).flatten().to_numpy(zero_copy_only=False)
-        return flat.astype(kind).reshape(batch.num_rows, width)
-    return of("x", np.float64, len(c.numeric)), of("digests", np.int64, len(c.categorical))
-
-
-def _with_matrices(df: DataFrame, c: Coordinates, prefix: str) -> DataFrame:
-    """`df` with its scaled numbers and its categories' digests as arrays."""
+def _places(c: Coordinates, listed: list[list[str]], batch: pa.RecordBatch | pa.Table,
+            prefix: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows on all axes, and which coordinates they have; a missing one lies at 0."""
+    z = np.zeros((batch.num_rows, len(c.columns)))
+    has = np.zeros(z.shape, bool)
     n = len(c.numeric)
-    x = [F.coalesce((F.col(f"{prefix}{i}") - c.means[i]) / c.deviations[i], F.lit(0.0))
-         for i in range(n)]
-    digests = [F.when(F.col(f"{prefix}{i}").isNull(), F.lit(0).cast("long")).otherwise(
-        F.xxhash64(f"{prefix}{i}")) for i in range(n, len(c.columns))]
-    return df.withColumn("x", F.array(*x).cast("array<double>")).withColumn(
-        "digests", F.array(*digests).cast("array<long>"))
-
+    for i in range(len(c.columns)):
+        column = batch.column(f"{prefix}{i}")
+        has[:, i] = column.is_valid().to_numpy(zero_copy_only=False) if isinstance(
+            column, pa.Array) else column.is_valid().to_numpy()
+        if i < n:
+            x = (_numbers(column) - c.means[i]) / c.deviations[i]
+            z[:, i] = np.where(has[:, i], x, 0.0)
+        else:
+            found = pc.index_in(column, value_set=pa.array(listed[i - n], pa.string()))
+            found = _numbers(found.cast(pa.float64()))
+            z[:, i] = np.where(has[:, i], np.where(np.isnan(found), len(listed[i - n]), found), 0.0)
+    return z, has
+
+
+def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Doubles, NaN for null."""
+    return (column.to_numpy() if isinstance(column, pa.ChunkedArray)
+            else column.to_numpy(zero_copy_only=False)).astype(np.float64)
+
+
+def _sample(model: NeighbourModel, donors: DataFrame, n: int) -> pa.Table:
+    """At most about SAMPLE donors, the same ones whenever asked."""
+    every = max(1, math.ceil(n / SAMPLE))
+    return donors.where(F.pmod(F.xxhash64("donor", F.lit(model.seed)), F.lit(every)) == 0).select(
+        "donor", *[f"y{i}" for i in range(len(model.coordinates.columns))]).orderBy("donor").toArrow()
+
+
+def _cells(model: NeighbourModel) -> Cells:
+    """The tree, out of a sample of donors; what is too large after counting is cut further."""
+    c, size = model.coordinates, len(model.coordinates.columns)
+    numbers = len(c.numeric)
+    sample = _sample(model, model.donors, model.n_donors)
+    listed = []
+    for i in range(numbers, size):
+        counts = pc.value_counts(sample.column(f"y{i}").drop_null()).to_pylist()
+        counts.sort(key=lambda r: (-r["counts"], r["values"]))
+        listed.append([r["values"] for r in counts[:LISTED]])
+    axis, cut, child = [-1], [0.0], [-1]
+    low, high = [np.full(size, -np.inf)], [np.full(size, np.inf)]
+
+    def tree() -> Cells:
+        return Cells(listed, np.array(axis), np.array(cut), np.array(child),
+                     np.array(low).reshape(-1, size), np.array(high).reshape(-1, size))
+
+    def grow(node: int, z: np.ndarray, most: float) -> None:
+        waiting = [(node, z)]
+        while waiting:
+            node, z = waiting.pop()
+            if len(z) <= max(most, 1):
+                continue
+            # How far two rows are apart on average, squared.
+            wide = [weights[i] * (2 * z[:, i].var() if i < numbers else
+                                  1 - np.square(np.bincount(z[:, i].astype(int)) / len(z)).sum())
+                    for i in range(size)]
+            i = int(np.argmax(wide))
+            x = z[:, i]
+            if x.min() == x.max():
+                continue
+            at = np.partition(x, (len(x) - 1) // 2)[(len(x) - 1) // 2]
+            at = at if at < x.max() else x[x < at].max()
+            axis[node], cut[node], child[node] = i, float(at), len(axis)
+            for beyond in (False, True):
+                axis.append(-1)
+                cut.append(0.0)
+                child.append(-1)
+                low.append(low[node].copy())
+                high.append(high[node].copy())
+                if beyond:
+                    low[-1][i] = at if i < numbers else at + 1
+                else:
+                    high[-1][i] = at
+                waiting.append((len(axis) - 1, z[(x > at) == beyond]))
+
+    z, has = _places(c, listed, sample, "y")
+    # Who lacks a coordinate visits both sides of its cuts: what rows with holes often lack is cut late.
+    lacking = (~has).sum(axis=0) / max(1, (~has.all(axis=1)).sum())
+    weights = np.square(1 - 0.99 * lacking)
+    grow(0, z, model.bucket * len(z) / max(model.n_donors, 1))
+    for _ in range(ROUNDS if len(z) < model.n_donors else 0):
+        cells = tree()
+        placed = _placed(replace(model, cells=cells), model.donors, "y")
+        # One row per cell that is too large.
+        large = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().where(
+            F.col("count") > model.large_bucket).collect()}
+        if not large:
+            break
+        inside = placed.where(F.col("cell").isin(list(large)))
+        sample = _sample(model, inside, sum(large.values()))
+        z, _ = _places(c, listed, sample, "y")
+        own = cells.of(z)
+        grown = len(axis)
+        for node, n in large.items():
+            some = z[own == node]
+            grow(node, some, model.bucket * len(some) / n)
+        if len(axis) == grown:
+            break
+    return tree()
 
-def _present(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
-    """Per row the columns that have a value, as bits."""
-    bits = np.zeros(batch.num_rows, np.int64)
-    for i, name in enumerate(names):
-        bits |= batch.column(name).is_valid().to_numpy(zero_copy_only=False).astype(np.int64) << i
-    return bits
 
+# ---- asking -------------------------------------------------------------------------------------
 
 def _ddl(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def _first_directions(model: NeighbourModel) -> int:
-    """As many as leave `bucket` donors in a bucket on average."""
-    return max(0, round(math.log(max(model.n_donors / model.bucket, 1)) / NATS))
-
-
-def tables_of(model: NeighbourModel, width: float, patterns: tuple[int, ...]) -> Tables:
-    """The index for steps of this width and these patterns; built once and stored."""
-    if (width, patterns) in model.built:
-        return model.built[width, patterns]
-    names = ["donor", *[f"y{i}" for i in range(len(model.coordinates.columns))]]
-    first = _first_directions(model)
-    tables = range(model.tables if first else 1)
-    light = _without_tables(model)
-
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            present = _present(batch, names[1:])
-            for pattern in patterns:
-                # All of the pattern's coordinates, and one that is to be filled.
-                own = batch.filter(pa.array((present & pattern == pattern) & (present != pattern)))
-                x, digests = _matrices(own, light.coordinates)
-                for table in tables:
-                    steps = np.floor(_places(light, x, digests, pattern, table, first + MORE, width))
-                    yield _entry(own, names, _keys(pattern, table, steps[:, :first]),
-                                 steps[:, first:])
-
-    donors = _with_matrices(model.donors, model.coordinates, "y")
-    index = materialize(donors.mapInArrow(
-        enter, _ddl(donors, names) + ", key long, more array<long>"), "neighbours-index")
-    built = Tables(width, first, index, [])
-    settled, open_part = None, index
-    for extra in range(MORE):
-        large = materialize(open_part.groupBy("key").agg(F.count("*").alias("n")).where(
-            F.col("n") > model.large_bucket).select(F.col("key").alias("large")),
-            "neighbours-large")
-        if large.isEmpty():
-            break
-        # Only the buckets that are too large are written anew.
-        joined = open_part.join(large, F.col("key") == F.col("large"), "left")
-        done = joined.where("large IS NULL").drop("large")
-        settled = done if settled is None else settled.unionAll(done)
-        open_part = materialize(joined.where("large IS NOT NULL").drop("large").withColumn(
-            "key", F.xxhash64("key", F.get("more", F.lit(extra)))), "neighbours-index")
-        built.split.append(large)
-    if settled is not None:
-        built.index = materialize(settled.unionAll(open_part), "neighbours-index")
-    model.built[width, patterns] = built
-    return built
-
-
-def _without_tables(model: NeighbourModel) -> NeighbourModel:
-    """The model's numbers alone, as tasks need them."""
-    return replace(model, donors=None, built={})
-
-
-def _entry(batch: pa.RecordBatch, names: list[str], key: np.ndarray,
-           more: np.ndarray) -> pa.RecordBatch:
-    ends = pa.array(np.arange(len(more) + 1) * more.shape[1], pa.int32())
-    listed = pa.ListArray.from_arrays(ends, pa.array(more.astype(np.int64).ravel()))
-    return pa.RecordBatch.from_arrays(
-        [*(batch.column(n) for n in names), pa.array(key), listed], [*names, "key", "more"])
+def _placed(model: NeighbourModel, df: DataFrame, prefix: str) -> DataFrame:
+    """`df` and the cell of every row."""
+    c, cells, names = model.coordinates, model.cells, df.columns
 
-
-# ---- asking -------------------------------------------------------------------------------------
-
-def _questions(model: NeighbourModel, holes: DataFrame, tables: Tables,
-               patterns: tuple[int, ...]) -> DataFrame:
-    """(question, pattern, key, coordinates): every bucket that a question looks into."""
-    names = ["question", "pattern", *[f"q{i}" for i in range(len(model.coordinates.columns))]]
-    first, width = tables.directions, tables.width
-    numbers = range(model.tables if first else 1)
-    light = _without_tables(model)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pattern in patterns:
-                own = batch.filter(pc.equal(batch.column("pattern"), pattern))
-                x, digests = _matrices(own, light.coordinates)
-                for table in numbers:
-                    places = _places(light, x, digests, pattern, table, first + MORE, width)
-                    steps = np.floor(places)
-                    near = np.where(places - steps < 0.5, steps - 1, steps + 1)
-                    behind = np.minimum(places - steps, steps + 1 - places) < NEAR
-                    more = np.concatenate([steps, np.where(behind, near, steps)], axis=1).reshape(
-                        len(steps), 2, -1)[:, :, first:].reshape(len(steps), -1)
-                    # The own bucket, and for every direction the one behind the nearer border.
-                    for crossed in range(-1, first):
-                        at = steps[:, :first].copy()
-                        if crossed >= 0:
-                            at[:, crossed] = near[:, crossed]
-                        yield _entry(own, names, _keys(pattern, table, at), more)
-
-    asked = _with_matrices(holes, model.coordinates, "q")
-    asked = asked.mapInArrow(ask, _ddl(asked, names) + ", key long, more array<long>")
-    for extra, large in enumerate(tables.split):
-        joined = asked.join(large, F.col("key") == F.col("large"), "left")
-        both = F.array_distinct(F.array(*[
-            F.xxhash64("key", F.get("more", F.lit(k))) for k in (extra, MORE + extra)]))
-        asked = joined.withColumn("key", F.explode(F.when(
-            F.col("large").isNotNull(), both).otherwise(F.array("key")))).drop("large")
-    return asked.drop("more")
-
-
-def _in_pattern(i: int) -> Column:
-    return F.getbit("pattern", F.lit(i)) == 1
-
-
-def _distance(c: Coordinates) -> Column:
-    """Squared distance over the coordinates of the pattern, which both sides have."""
-    total = F.lit(0.0)
-    for i in range(len(c.columns)):
-        q, y = F.col(f"q{i}"), F.col(f"y{i}")
-        apart = (F.pow((q - y) / c.deviations[i], F.lit(2.0)) if i < len(c.numeric)
-                 else (q != y).cast("double"))
-        total = total + F.when(_in_pattern(i), apart).otherwise(0.0)
-    return total
-
-
-def nearest_donors(model: NeighbourModel, holes: DataFrame, width: float) -> DataFrame:
-    """(question, target, donor, distance, y...): at most k donors for each hole of a question."""
-    c, found = model.coordinates, None
-    # One row per pattern; questions without a coordinate have no neighbours.
-    patterns = sorted(r["pattern"] for r in holes.where("pattern > 0").select(
-        "pattern").distinct().collect())
+            z, _ = _places(c, cells.listed, batch, prefix)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cells.of(z).astype(np.int32))], [*names, "cell"])
+
+    return df.mapInArrow(place, _ddl(df, names) + ", cell int")
+
+
+def _meet(model: NeighbourModel, donors: DataFrame, visits: DataFrame) -> DataFrame:
+    """Donors and questions of a cell together, the donors first and in their order."""
+    size = range(len(model.coordinates.columns))
+    both = donors.select("cell", "donor", F.lit(None).cast("binary").alias("question"),
+                         F.lit(None).cast("long").alias("pattern"),
+                         F.lit(None).cast("double").alias("limit"), *[f"y{i}" for i in size]).unionAll(
+        visits.select("cell", F.lit(None).cast("long"), "question", "pattern", "limit",
+                      *[f"q{i}" for i in size]))
+    tasks = max(1, math.ceil(model.n_donors / DONORS_A_TASK))
+    tasks = max(tasks, min(both.sparkSession.sparkContext.defaultParallelism, len(model.cells.axis)))
+    return both.repartition(tasks, "cell").sortWithinPartitions(
+        "cell", F.col("donor").asc_nulls_last())
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """(donors, questions) of one cell; the questions in batches."""
+    cell, donors = None, []
+    for batch in batches:
+        at = batch.column("cell").to_numpy()
+        ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1 if len(at) else []
+        start = 0
+        for end in ends:
+            if at[start] != cell:
+                cell, donors = at[start], []
+            some = batch.slice(start, end - start)
+            asked = some.column("donor").null_count
+            if asked < some.num_rows:
+                donors.append(some.slice(0, some.num_rows - asked))
+            if asked and donors:
+                if len(donors) > 1:
+                    donors = [pa.Table.from_batches(donors).combine_chunks().to_batches()[0]]
+                yield (pa.Table.from_batches(donors),
+                       pa.Table.from_batches([some.slice(some.num_rows - asked)]))
+            elif asked:
+                yield (pa.Table.from_batches([some.slice(0, 0)]),
+                       pa.Table.from_batches([some.slice(some.num_rows - asked)]))
+            start = end
+
+
+def _nearest(c: Coordinates, k: int, donors: pa.Table,
+             asked: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(target, question, donor, squared distance), by row numbers: the k nearest donors of each hole,
+    the lower donor first where equally near."""
+    numbers, size = len(c.numeric), len(c.columns)
+    y, q = [], []
+    for i in range(size):
+        a, b = donors.column(f"y{i}"), asked.column(f"y{i}")
+        if i >= numbers:
+            # Words of both sides as numbers; a missing one is compared by no pattern that counts.
+            whole = pa.chunked_array([*a.chunks, *b.chunks], pa.string()).combine_chunks()
+            coded = _numbers(whole.dictionary_encode().indices.cast(pa.float64()))
+            y.append(coded[:len(a)])
+            q.append(coded[len(a):])
+        else:
+            y.append(_numbers(a))
+            q.append(_numbers(b))
+    patterns = asked.column("pattern").to_numpy()
+    there = [~np.isnan(v) for v in y]
+    for pattern in np.unique(patterns):
+        own = [i for i in range(size) if pattern >> i & 1]
+        holes = [i for i in range(size) if not pattern >> i & 1]
+        fit = np.logical_and.reduce([there[i] for i in own])
+        fit &= np.logical_or.reduce([there[i] for i in holes])
+        fit = np.flatnonzero(fit)
+        rows = np.flatnonzero(patterns == pattern)
+        if not len(fit):
+            continue
+        step = max(1, AT_ONCE // len(fit))
+        for start in range(0, len(rows), step):
+            some = rows[start:start + step]
+            apart = np.zeros((len(some), len(fit)))
+            for i in own:
+                if i < numbers:
+                    apart += np.square((q[i][some][:, None] - y[i][fit]) / c.deviations[i])
+                else:
+                    apart += q[i][some][:, None] != y[i][fit]
+            for target in holes:
+                open_ = there[target][fit]
+                if not open_.any():
+                    continue
+                known, of = (apart, fit) if open_.all() else (apart[:, open_], fit[open_])
+                last = (np.partition(known, k - 1, axis=1)[:, k - 1] if len(of) > k
+                        else np.full(len(some), np.inf))
+                row, column = np.nonzero(known <= last[:, None])
+                distance = known[row, column]
+                order = np.lexsort((column, distance, row))
+                row, column, distance = row[order], column[order], distance[order]
+                starts = np.searchsorted(row, row)
+                best = np.arange(len(row)) - starts < k
+                yield target, some[row[best]], of[column[best]], distance[best]
+
+
+def _visits(model: NeighbourModel, questions: DataFrame, most: int) -> DataFrame:
+    """Every cell that a question visits, with the squared distance that its own cell gives it."""
+    c, cells, k = model.coordinates, model.cells, model.k
     size = len(c.columns)
-    # A donor met in several buckets has one rank.
-    order = Window.partitionBy("question", "target").orderBy("distance", "donor")
-    for start in range(0, max(len(patterns), 1), PATTERNS):
-        some = tuple(patterns[start:start + PATTERNS])
-        tables = tables_of(model, width, some)
-        met = _questions(model, holes, tables, some).join(
-            tables.index.drop("more"), "key").withColumn("distance", _distance(c))
-        filled = F.filter(F.array(*[
-            F.when(~_in_pattern(i) & F.col(f"y{i}").isNotNull(), F.lit(i)) for i in range(size)]),
-            lambda i: i.isNotNull())
-        met = met.select("question", "donor", "distance", *[f"y{i}" for i in range(size)],
-                         F.explode(filled).alias("target"))
-        best = met.withColumn("rank", F.dense_rank().over(order)).where(
-            F.col("rank") <= model.k).dropDuplicates(["question", "target", "donor"]).drop("rank")
-        found = best if found is None else found.unionAll(best)
-    return found
+    names = ["cell", "question", "pattern", "limit", *[f"q{i}" for i in range(size)]]
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for donors, asked in _by_cell(batches):
+            found = np.zeros((asked.num_rows, size), np.int64)
+            limit = np.zeros(asked.num_rows)
+            for target, question, _, distance in _nearest(c, k, donors, asked):
+                np.add.at(found[:, target], question, 1)
+                np.maximum.at(limit, question, distance)
+            z, has = _places(c, cells.listed, asked, "y")
+            limit[((found < k) & ~has).any(axis=1)] = np.inf
+            for start in range(0, len(z), 1_000):
+                some = slice(start, start + 1_000)
+                row, cell = cells.near(z[some], has[some], limit[some], most)
+                table = asked.slice(start, 1_000).take(pa.array(row))
+                yield from pa.Table.from_arrays(
+                    [pa.array(cell.astype(np.int32)), table.column("question"),
+                     table.column("pattern"), pa.array(limit[some][row]),
+                     *[table.column(f"y{i}") for i in range(size)]], names).to_batches()
+
+    own = _placed(model, questions, "q")
+    return _meet(model, _placed(model, model.donors, "y"), own.withColumn(
+        "limit", F.lit(None).cast("double"))).mapInArrow(
+        plan, "cell int, question binary, pattern long, limit double, "
+        + _ddl(questions, names[4:]))
+
+
+def nearest_donors(model: NeighbourModel, holes: DataFrame, most: int) -> DataFrame:
+    """(question, target, donor, distance, number, word): at most k donors for each hole of a question
+    out of each of the cells that it visits, `most` at most."""
+    c, k, numbers = model.coordinates, model.k, len(model.coordinates.numeric)
+    asked = holes.where("pattern > 0").withColumn("question", F.unhex("question"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for donors, asked in _by_cell(batches):
+            limit = asked.column("limit").to_numpy() * (1 + 1e-9) + 1e-9
+            for target, question, donor, distance in _nearest(c, k, donors, asked):
+                good = distance <= limit[question]
+                question, donor, distance = question[good], pa.array(donor[good]), distance[good]
+                value = donors.column(f"y{target}").take(donor)
+                number, word = pa.nulls(len(donor), pa.float64()), pa.nulls(len(donor), pa.string())
+                yield from pa.Table.from_arrays(
+                    [asked.column("question").take(pa.array(question)),
+                     pa.array(np.full(len(donor), target, np.int32)),
+                     donors.column("donor").take(donor), pa.array(distance),
+                     *([value, word] if target < numbers else [number, value])],
+                    ["question", "target", "donor", "distance", "number", "word"]).to_batches()
+
+    met = _meet(model, _placed(model, model.donors, "y"), _visits(model, asked, most))
+    return met.mapInArrow(search, "question binary, target int, donor long, distance double, "
+                                  "number double, word string").withColumn(
+        "question", F.lower(F.hex("question")))
 
 
 def holes_of(df: DataFrame, model: NeighbourModel) -> DataFrame:
@@ -353,25 +463,31 @@ def _question(df: DataFrame, names: Sequence[str]) -> Column:
 
 
 def neighbours(model: NeighbourModel, holes: DataFrame) -> DataFrame:
-    """The donors for all holes; questions with fewer than k for one ask again with wider steps."""
+    """The k nearest donors for all holes; questions with fewer for one ask again in more cells."""
     left, found = holes, None
     size = len(model.coordinates.columns)
-    for width in WIDER:
-        got = materialize(nearest_donors(model, left, width), "neighbours-found")
-        found = got if found is None else found.unionAll(got)
-        if _first_directions(model) == 0:
+    order = Window.partitionBy("question", "target").orderBy("distance", "donor")
+    for more in MORE:
+        got = materialize(nearest_donors(model, left, model.tables * more).withColumn(
+            "rank", F.row_number().over(order)).where(F.col("rank") <= model.k), "neighbours-found")
+        # Those that ask again are found anew.
+        found = got if found is None else found.join(
+            left.select("question"), "question", "left_anti").unionByName(got)
+        if (model.cells.axis < 0).sum() <= model.tables * more:
             break
         met = got.groupBy("question").agg(*[
             F.count(F.when(F.col("target") == i, 1)).alias(f"n{i}") for i in range(size)])
         enough = F.forall(F.array(*[_in_pattern(i) | (F.col(f"n{i}") >= model.k)
                                     for i in range(size)]), lambda x: x)
         left = materialize(left.join(met, "question", "left").where(~F.coalesce(
-            enough, F.lit(False))).select(*left.columns), "neighbours-left")
+            enough, F.lit(False)) & (F.col("pattern") > 0)).select(*left.columns), "neighbours-left")
         if left.isEmpty():
             break
-    order = Window.partitionBy("question", "target").orderBy("distance", "donor")
-    return found.dropDuplicates(["question", "target", "donor"]).withColumn(
-        "rank", F.row_number().over(order)).where(F.col("rank") <= model.k)
+    return found
+
+
+def _in_pattern(i: int) -> Column:
+    return F.getbit("pattern", F.lit(i)) == 1
 
 
 def impute(df: DataFrame, model: NeighbourModel) -> DataFrame:
@@ -387,8 +503,8 @@ def impute(df: DataFrame, model: NeighbourModel) -> DataFrame:
     near = neighbours(model, holes)
     kinds = ["double"] * len(c.numeric) + ["string"] * len(c.categorical)
     learned = near.groupBy("question").agg(*[
-        (F.avg(F.when(F.col("target") == i, F.col(f"y{i}"))) if i < len(c.numeric) else
-         F.mode(F.when(F.col("target") == i, F.col(f"y{i}")), True)).alias(f"fill{i}")
+        (F.avg(F.when(F.col("target") == i, F.col("number"))) if i < len(c.numeric) else
+         F.mode(F.when(F.col("target") == i, F.col("word")), True)).alias(f"fill{i}")
         for i in range(len(c.columns))])
     learned = materialize(learned.withColumnRenamed("question", "_question"), "neighbours-fills")
     names = [f"q{i}" for i in range(len(c.columns))]
@@ -398,5 +514,9 @@ def impute(df: DataFrame, model: NeighbourModel) -> DataFrame:
         _question(rows, [f"_{n}" for n in names])))
     filled = {col: F.coalesce(F.col(f"_q{i}"), F.col(f"fill{i}"), F.lit(c.fills[i]).cast(kinds[i]))
               for i, col in enumerate(c.columns)}
-    joined = keyed.join(learned, F.col("_key") == F.col("_question"), "left")
-    return joined.select(*[filled[n].alias(n) if n in filled else quoted(n) for n in df.columns])
+    # Only rows with a hole are looked up; the others stay where they are.
+    whole = keyed.where("_key IS NULL").withColumns(
+        {f"fill{i}": F.lit(None).cast(kind) for i, kind in enumerate(kinds)})
+    joined = keyed.where("_key IS NOT NULL").join(learned, F.col("_key") == F.col("_question"), "left")
+    return joined.drop("_question").unionByName(whole).select(
+        *[filled[n].alias(n) if n in filled else quoted(n) for n in df.columns])

@@ -121,3 +121,45 @@ def test_nothing_to_learn_from(spark, df):
     assert N.impute(blank, model).where("a IS NOT NULL").count() == 0
     with pytest.raises(M.PreparationError):
         N.fit_neighbours(df, [], [])
+
+
+@pytest.mark.parametrize("settings", [{"bucket": 8}, {"bucket": 8, "large_bucket": 20, "tables": 1_000}])
+def test_small_cells_are_exact(df, monkeypatch, settings):
+    """Every cell that may hold a neighbour is visited, of a tree out of all donors or of a few."""
+    monkeypatch.setattr(N, "SAMPLE", 10_000 if len(settings) == 1 else 200)
+    model = N.fit_neighbours(df, NUMBERS, WORDS, **settings)
+    cells = {r["cell"]: r["count"] for r in N._placed(model, model.donors, "y").groupBy(
+        "cell").count().collect()}
+    assert len(cells) > 70 and max(cells.values()) <= 40
+    holes = N.holes_of(df, model)
+    near = {}
+    for r in N.neighbours(model, holes).collect():
+        near.setdefault((r.question, r.target), []).append(r.distance)
+    for key, distances in brute(model, holes).items():
+        assert sorted(near[key]) == pytest.approx(np.sort(distances)[:N.NEIGHBOURS], abs=1e-9)
+
+
+def test_few_donors_far_away(spark):
+    """A question whose own cells hold no donor for its hole asks again in more cells."""
+    rows = [(float(k), float(k % 7), None) for k in range(600)]
+    rows += [(1e4 + k, 1.0, f"w{k}") for k in range(9)]
+    df = spark.createDataFrame(rows, "a double, b double, c string")
+    for tables in (20, 1_000):
+        model = N.fit_neighbours(df, ["a", "b"], ["c"], k=3, bucket=4, tables=tables)
+        near = N.neighbours(model, N.holes_of(df, model)).collect()
+        assert len(near) == 600 * 3
+    assert {r.word for r in near} == {"w0", "w1", "w2"}
+    filled = N.impute(df, model)
+    assert filled.count() == 609 and filled.where("c NOT IN ('w0', 'w1', 'w2')").count() == 6
+
+
+def test_index_holds_a_donor_once(df):
+    """One set of cells serves all patterns of holes; no row per donor, pattern and table is stored."""
+    stored, kept = [], N.materialize
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(N, "materialize",
+                      lambda rows, label: stored.append(kept(rows, label)) or stored[-1])
+        model = N.fit_neighbours(df, NUMBERS, WORDS)
+        holes = N.holes_of(df, model)
+        N.neighbours(model, holes).count()
+        assert max(t.count() for t in stored) <= max(model.n_donors, 4 * N.NEIGHBOURS * holes.count())
