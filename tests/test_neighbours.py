@@ -163,3 +163,47 @@ def test_index_holds_a_donor_once(df):
         holes = N.holes_of(df, model)
         N.neighbours(model, holes).count()
         assert max(t.count() for t in stored) <= max(model.n_donors, 4 * N.NEIGHBOURS * holes.count())
+
+
+@pytest.mark.parametrize("frequent", [32, 0])
+def test_leaves_are_exact(df, monkeypatch, frequent):
+    """Within a cell, a question of a frequent pattern or of another is compared with every donor that
+    may be near."""
+    monkeypatch.setattr(N, "FREQUENT", frequent)
+    monkeypatch.setattr(N, "LEAF", 8)
+    model = N.fit_neighbours(df, NUMBERS, WORDS)
+    holes = N.holes_of(df, model)
+    near = {}
+    for r in N.neighbours(model, holes).collect():
+        near.setdefault((r.question, r.target), []).append(r.distance)
+    for key, distances in brute(model, holes).items():
+        assert sorted(near[key]) == pytest.approx(np.sort(distances)[:N.NEIGHBOURS], abs=1e-9)
+
+
+def test_cells_visited(spark, monkeypatch):
+    """Donors are dealt out once, and a question goes to few cells, though all cells are cut along a
+    column that many questions lack."""
+    key = F.col("id")
+    lines = spark.range(40_000).select(
+        F.when(key % 9 != 0, F.pmod(F.hash(key), F.lit(50)).cast("double")).alias("quantity"),
+        F.pmod(F.xxhash64(key), F.lit(10_000_019)).alias("price"),
+        (F.pmod(F.hash(key + 1), F.lit(11)) / 100).alias("discount"),
+        F.when(key % 17 != 0, F.concat(F.lit("f"), F.pmod(F.hash(key + 2), F.lit(3)))).alias("flag"))
+    dealt, meet = [], N._meet
+    monkeypatch.setattr(N, "_meet", lambda model, donors, visits: dealt.append(visits) or meet(
+        model, donors, visits))
+    model = N.fit_neighbours(lines, ["quantity", "price", "discount"], ["flag"])
+    holes = N.holes_of(lines, model)
+    near = N.neighbours(model, holes)
+    assert near.count() == N.NEIGHBOURS * sum(
+        holes.where(f"q{i} IS NULL").count() for i in range(4))
+    assert len(dealt) == 1 and dealt[0].count() <= 3 * holes.count()
+
+
+def test_facts_of_copies(spark):
+    """Means and deviations count every copy, and equal values have no rounding."""
+    rows = [(0.1, 1.0, "u")] * 3 + [(0.1, 4.0, "v")] + [(0.1, None, "v")] * 3 + [(None, None, None)] * 5
+    model = N.fit_neighbours(spark.createDataFrame(rows, "a double, b double, c string"), ["a", "b"], ["c"])
+    c = model.coordinates
+    assert model.n_donors == 3 and c.means == pytest.approx([0.1, 1.75], abs=0) and c.fills[2] == "v"
+    assert c.deviations == pytest.approx([1.0, np.std([1, 1, 1, 4])], abs=1e-15)
